@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .linededup import MAX_RATIO, MIN_PAGES
 from .quality import BOILERPLATE, LONG_LINE, MAX_SYMBOL_PERCENT, MIN_KEPT_PERCENT, MIN_NAV, MIN_WORDS, NAV_PERCENT
 
 _WS = r"[\x20\x09-\x0D]"
@@ -50,6 +51,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+OP5 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+), lines AS (
+  SELECT rid, host, x, i, regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g') AS bare
+  FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)
+), totals AS (
+  SELECT host, count(*) AS pages FROM d GROUP BY host HAVING count(*) >= {MIN_PAGES}
+), boiler AS (
+  SELECT l.host, bare FROM lines l JOIN totals USING (host) WHERE bare <> ''
+  GROUP BY l.host, bare, pages HAVING count(DISTINCT rid) > 1 AND count(DISTINCT rid) > pages * {MAX_RATIO}
+), marked AS (
+  SELECT l.*, b.bare IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.host = b.host AND l.bare = b.bare
+)
+SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
+       count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped
+FROM marked JOIN d USING (rid) GROUP BY rid, doc_id
+"""
+
 ORACLE = {
+    "op5_site_line_frequency": OP5,
     "op9_line_first_cleaning": OP9,
 }
