@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, hosturl, linededup, quality, simhash, spiece, surrogate, tokenbin
+from . import blocklabel, ctw, decontam, hosturl, linededup, quality, simhash, spiece, surrogate, tokenbin
 from .common import table
 
 #: End-of-document id of the token files.
@@ -28,6 +28,11 @@ def op2_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op3_recurrent_block_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blocklabel.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"), F.col("_n_blocks").alias("n_blocks"), F.col("_n_main").alias("n_main"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
 
@@ -65,7 +70,7 @@ def op10_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_spaced_seed_decontamination, op2_context_tree_weighting, op4_token_files, op5_site_line_frequency, op6_simhash_gray_index,
+        op1_spaced_seed_decontamination, op2_context_tree_weighting, op3_recurrent_block_labels, op4_token_files, op5_site_line_frequency, op6_simhash_gray_index,
         op7_surrogates, op8_host_words, op9_line_first_cleaning, op10_gumbel_segmentations,
     )
 }
