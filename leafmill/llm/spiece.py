@@ -116,12 +116,13 @@ class Lattices:
             return
         text = "".join(units)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars = np.where(chars == 32, ord(_SPACE), chars)
+        # a space is written as the mark; a mark in the text itself has no piece (U+10FFFF stands in) and goes by its bytes
+        shown = np.where(chars == 32, ord(_SPACE), np.where(chars == ord(_SPACE), 0x10FFFF, chars))
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.repeat(np.cumsum(sizes), sizes)
         left = ends - np.arange(len(chars))
         # edges: every piece that starts at a position; bytes stand in for a character that has no piece
-        at, node = np.arange(len(chars)), self.v.first[chars].astype(np.int64)
+        at, node = np.arange(len(chars)), self.v.first[shown].astype(np.int64)
         none = node < 0
         single = np.where(none, -1, self.v.piece[np.maximum(node, 0)])
         froms, tos, ids, weights = [], [], [], []
@@ -134,7 +135,7 @@ class Lattices:
             froms.append(at[hit]), tos.append(at[hit] + length), ids.append(self.v.piece[node[hit]]), weights.append(self.v.weight[node[hit]])
             more = left[at] > length
             at, node = at[more], node[more]
-            node = self.v.step(node, chars[at + length]) if len(at) else node
+            node = self.v.step(node, shown[at + length]) if len(at) else node
             at, node, length = at[node >= 0], node[node >= 0], length + 1
         a, b, i, w = (np.concatenate(x) for x in (froms, tos, ids, weights))
         # backward sums, by distance from the end of the unit
@@ -376,7 +377,7 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
     def block(t: Lattices, ids: list, raw: list[bytes]) -> pa.RecordBatch:
         if len(t.edge) > MEMORY:
             t.clear()
-        rows = []
+        rows, ids_of = [], []
         for doc, text, paths in zip(ids, raw, sample(t, [x.decode() for x in raw], row_keys(ids, seed), k)):
             # the (k+1)-th perturbed score: the best bound still on the agenda
             after = max((float(p.bound.max()) for p in paths if len(p.bound)), default=-np.inf)
@@ -384,11 +385,16 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
                 pieces = piece_ids(t, p.edges)
                 inclusion = 1.0 if after == -np.inf else float(-np.expm1(-np.exp(min(p.logp - after, 700.0))))
                 wide = pieces.astype("<u4")
-                rows.append((doc, s, len(pieces), p.logp, p.gumbel, inclusion, (decode(t.v, pieces) if len(pieces) else b"") == text, zlib.crc32(wide.data), wide.tolist() if with_ids else None))
-        columns = list(zip(*rows)) or [[]] * 9
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
-        names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"]
-        m = len(names) if with_ids else len(names) - 1
-        return pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(columns[:m], types)], names=names[:m])
-
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
+                rows.append((doc, s, len(pieces), p.logp, p.gumbel, inclusion, (decode(t.v, pieces) if len(pieces) else b"") == text, zlib.crc32(wide.data)))
+                if with_ids:
+                    ids_of.append(wide.astype(np.int32))
+        columns = list(zip(*rows)) or [[]] * 8
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
+        arrays, names = [pa.array(c, y) for c, y in zip(columns, types)], [x.split()[0] for x in SCHEMA.split(", ")]
+        if with_ids:
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids_of]))).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids_of]))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -79,7 +79,7 @@ def test_all_segmentations_in_the_end(tables):
 
 
 def test_rows_and_seeds(docs):
-    rows = [(1, None), (2, ""), (3, "Hello wörld\n\n  again\t中文 🙂 " + "x" * 300), (4, "the cat sat " * 400), (5, " "), (4, "the cat sat " * 400)]
+    rows = [(1, None), (2, ""), (3, "Hello wörld\n\n  again\t中文 🙂 a▁▁b ▁ " + "x" * 300), (4, "the cat sat " * 400), (5, " "), (4, "the cat sat " * 400)]
     got = spiece.segmentations(docs(rows), MODEL, 3, with_ids=True).collect()
     assert all(r["round_trip"] for r in got)
     assert [r["n_pieces"] for r in got if r["doc_id"] in (1, 2)] == [0, 0]
