@@ -1,4 +1,11 @@
-"""Corpus pipeline: the stages a training corpus passes, each written as Parquet and read again."""
+"""Corpus pipeline: the stages a training corpus passes, each written as Parquet and read again.
+
+1. quality_rules: rejected documents go, failing lines of the others too.
+2. line_dedup: lines on over a tenth of a source's documents go.
+3. near_dedup: one document of each SimHash group stays, the one with the smallest doc_id.
+4. decontaminate: documents that overlap a benchmark item go.
+5. segment: two distinct sampled SentencePiece segmentations of every document that is left.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +13,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import quality
+from leafmill.llm import decontam, linededup, quality, simhash, spiece
 from leafmill.llm.common import shared_dir, table
+from leafmill.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.dedup(docs, "source")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.dedup(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spiece.segmentations(docs, vocabulary("piece_bpe_32k.model"), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("segment", segment),
+]
 
 #: The last stage samples segmentations, which SQL can't express.
 ORACLE_SQL = None
