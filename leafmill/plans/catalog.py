@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, sheets  # noqa: F401  (they register their queries)
+from . import documents, pages, quality, sheets  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

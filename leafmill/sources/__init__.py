@@ -1 +1 @@
-"""Sources of the document engine."""
+"""Sources of the document engine: Markdown, HTML, container files."""
