@@ -19,9 +19,12 @@ An empty table gives an empty manifest.
 from __future__ import annotations
 
 import io
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +35,19 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, texts
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long, width long"
-#: Remembered words of a task's tokenizer; more are forgotten all at once.
+#: Remembered words of a worker's tokenizer, twice: those used since the last turn, and those of the turn before.
 MEMORY = 600_000
 
-#: A private-use character; words that hold it are encoded alone.
-_SEPARATOR = "\ue000"
+#: A word that ends in a letter or digit, and the ASCII punctuation after it (never an apostrophe, which may join the letters).
+_TAIL = re.compile(rb"(.*(?:[a-zA-Z0-9]|[\xc3-\xc9][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.S)
+#: Bytes of text encoded at a time.
+BLOCK = 1_000_000
 
 
 class WordEncoder:
     """Encodes texts with a tokenizers model that never joins characters across ASCII white space.
 
-    A word's ids are remembered; unseen words of a batch are encoded in one call, with a separator between them.
+    A word's ids are remembered; unseen words are encoded many at a time.
     """
 
     def __init__(self, path: str):
@@ -52,45 +57,59 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.mark = self.ids(_SEPARATOR)
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of unseen words."""
-        plain = [w for w in words if _SEPARATOR.encode() not in w]
-        for w in set(words).difference(plain):
-            self.known[w] = np.array(self.ids(w.decode()), self.dtype).tobytes()
-        step, width = 2000, len(self.mark)
-        for k in range(0, len(plain), step):
-            part = plain[k : k + step]
-            ids = np.array(self.ids(f" {_SEPARATOR} ".join(w.decode() for w in part)), np.int64)
-            hit = np.ones(max(0, len(ids) - width + 1), bool)
-            for j, m in enumerate(self.mark):
-                hit &= ids[j : len(hit) + j] == m
-            cuts = np.flatnonzero(hit)
-            if len(cuts) != len(part) - 1:  # the separator met its own ids in a word: one by one
-                for w in part:
-                    self.known[w] = np.array(self.ids(w.decode()), self.dtype).tobytes()
+        """Remember the ids of unseen words: those of their letters and those of the punctuation that follows."""
+        tails = {}
+        for w in words:
+            m = _TAIL.match(w)
+            if m and b"<|" not in w:
+                tails[w] = m.groups()
+        fresh = {x for pair in tails.values() for x in pair if x not in self.known}
+        fresh.update(w for w in words if w not in tails)
+        letters, odd = [], []
+        for w in fresh:
+            text = w.decode()
+            plain = text if text.isascii() else unicodedata.normalize("NFC", text).lower()
+            (letters if plain.isalpha() else odd).append((w, text))
+        # a word of letters is one word of the library too, which tells them apart
+        for k in range(0, len(letters), 200):
+            part = letters[k : k + 200]
+            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            ids, of = np.array(found.ids, self.dtype), np.array(found.word_ids, np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            if len(starts) != len(part):
+                odd += part
                 continue
-            small = ids.astype(self.dtype)
-            starts = [0, *(cuts + width).tolist()]
-            for w, a, b in zip(part, starts, [*cuts.tolist(), len(ids)]):
-                self.known[w] = small[a:b].tobytes()
+            cuts = [*starts.tolist(), len(ids)]
+            self.known.update((w, ids[a:b].tobytes()) for (w, _), a, b in zip(part, cuts, cuts[1:]))
+        for w, text in odd:
+            self.known[w] = np.array(self.ids(text), self.dtype).tobytes()
+        for w, (core, tail) in tails.items():
+            self.known[w] = self.known[core] + self.known[tail]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes of self.dtype."""
         if len(self.known) > MEMORY:
-            self.known.clear()
-        out = []
-        for text in batch:
-            words = text.split()
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                self.learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+            self.old, self.known = self.known, {}
+        # the model lower-cases; special tokens are matched before that
+        words = [(t if b"<|" in t else t.lower()).split() for t in batch]
+        new = {w for x in words for w in x if w not in self.known}
+        if new:
+            again = {w: self.old[w] for w in new if w in self.old}
+            self.known.update(again)
+            self.learn([w for w in new if w not in again])
+        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this worker process, kept from task to task."""
+    return WordEncoder(path)
 
 
 def files(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -116,16 +135,22 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shards: int |
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = WordEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 fs, root = files(path)
                 name = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{name}.bin")
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch.column(1)))):
-                out.write(ids)
-                out.write(end)
-                doc_ids.append(doc)
-                lengths.append(len(ids) // encoder.dtype.itemsize + 1)
+            raw, at = texts(batch.column(1)), 0
+            doc_ids += batch.column(0).to_pylist()
+            while at < len(raw):
+                stop, load = at, 0
+                while stop < len(raw) and (stop == at or load + len(raw[stop]) <= BLOCK):
+                    load, stop = load + len(raw[stop]), stop + 1
+                for ids in encoder.encode(raw[at:stop]):
+                    out.write(ids)
+                    out.write(end)
+                    lengths.append(len(ids) // encoder.dtype.itemsize + 1)
+                at = stop
         if encoder is not None:
             out.close()
             offsets = np.concatenate(([0], np.cumsum(np.array(lengths, np.int64)))).astype("<i8")

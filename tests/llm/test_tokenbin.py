@@ -13,7 +13,8 @@ def test_files_hold_the_library_ids(docs, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(MODEL)
-    rows = [(5, "Hello, wörld! it's 42."), (1, None), (2, ""), (9, "<|endoftext|> a\ue000b \ue000 c"), (3, "e\u0301 \u0301 x\u00a0y\u2003z"), (7, "same"), (7, "same"), (4, "word " * 5000)]
+    rows = [(5, "Hello, wörld! it's 42."), (1, None), (2, ""), (9, "<|endoftext|> a\ue000b \ue000 c"), (3, "e\u0301 \u0301 x\u00a0y\u2003z"), (7, "same"), (7, "same"), (4, "word " * 5000),
+            (10, "don't DON'T it's' 'tis we'll, İstanbul ΣΑΣ ΟΔΟΣ. ß. é. e\u0301. ñ, a1,2 x*** &&& <|ENDOFTEXT|> --- foo-bar's. dž DŽ. ﬁ."), (11, "<|startoftext|>A<|endoftext|>. B")]
     rows += [(100 + i, f"Doc {i} with some wordé{i} and more\n\tlines") for i in range(50)]
     out = tokenbin.round_trip(docs(rows), MODEL, 2, f"file://{tmp_path}/tokens")
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out.collect())
