@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ESCAPES = r"\\([!\"#$%&'()*+,\-./:;<=>?@\[\]\\^_`{|}~])"
 _MARKUP = r"(?<!\\)(?:</?(?:u|ins|del|sub|sup)>|\*\*|~~)"
 _BREAKS = r"(?i)(?:<br\s*/?>|\s)+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(text: pd.Series) -> pd.Series:
     """Character references decoded."""
     import html
@@ -21,7 +22,7 @@ def decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """Compatibility normal form, upper case."""
     return text.map(lambda t: t if t is None else t.upper() if t.isascii() else unicodedata.normalize("NFKC", t).upper())
