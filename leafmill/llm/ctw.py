@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 
 DEPTH = 5
-GRAM_SHARD, WORD_SHARD = 3_000_000, 5_900_000
+GRAM_SHARD, WORD_SHARD = 2_900_000, 2_900_000
 #: Grams of the tree that one task builds, and bytes of text handled at a time.
-PART, BLOCK = 400_000, 2_000_000
+PART, BLOCK = 400_000, 1_000_000
 #: The tree is dealt by this many bytes of context.
 DEALT = 2
 
