@@ -203,7 +203,7 @@ def _(cells):
 
 
 @query("f10c_math", "orders", sql="""
-SELECT o_orderkey, abs(x) AS a, floor(x) AS i, sign(x) AS s, round(x - 3 * floor(x / 3), 6) AS m, sign(x) * floor(abs(x) * 10 + 0.5 + 1e-9) / 10 AS r, sign(x) * ceil(abs(x) - 1e-9) + 0.0 AS u, sign(x) * floor(abs(x) / 10 + 1e-9) / 0.1 AS d, sign(x) * floor(abs(x)) AS t
+SELECT o_orderkey, abs(x) AS a, floor(x) AS i, sign(x) AS s, round(x - 3 * floor(x / 3), 6) AS m, sign(x) * floor(abs(x) * 10 + 0.5 + 1e-9) / 10 + 0.0 AS r, sign(x) * ceil(abs(x) - 1e-9) + 0.0 AS u, sign(x) * floor(abs(x) / 10 + 1e-9) / 0.1 + 0.0 AS d, sign(x) * floor(abs(x)) + 0.0 AS t
 FROM (SELECT o_orderkey, (o_custkey % 200 - 100) / CAST(8 AS DOUBLE) AS x FROM orders)
 """)
 def _(orders):
