@@ -16,8 +16,10 @@ merge rank r weighs 1 / (r + RANK_SHIFT) to the power `alpha`; byte pieces
 share the last rank.  The model's own deterministic encoding is ``encode``.
 
 Pieces never cross from a letter to a following space, nor a line break, so a
-text's lattice is a chain of small ones ("units").  What can follow depends on
-the rest of a unit alone, so lattices are remembered by unit suffix.
+text's lattice is a chain of small ones ("units"; ASCII punctuation after a
+letter starts one too, if the vocabulary allows).  What can follow depends on
+the rest of a unit alone, so lattices are remembered by unit suffix (by its
+64-bit hash).
 
 Random numbers are a counter-based hash of (seed, row key, sample, position):
 a row's samples don't depend on partitions, batches or retries.  Null texts
@@ -30,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +43,21 @@ from .common import texts
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 42
 RANK_SHIFT = 10.0
-#: Lattice states that a task remembers before it forgets them all.
+#: Lattice states that a worker remembers, from task to task, before it forgets them all.
 MEMORY = 3_000_000
 #: Characters of a batch that are sampled at a time.
 BLOCK = 4_000_000
 
-_UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+
+
+def units(crossed: set[str]) -> re.Pattern:
+    """Line breaks, and runs of spaces with what follows; ASCII punctuation after a letter or digit (but those crossed) starts anew."""
+    x = "".join(map(re.escape, sorted(crossed)))
+    letter, sign, other = rf"[^\W_{x}]+", rf"(?:[^\w \n]|[_{x}])", rf"(?:[^\w \n!-/:-@\[-`{{-~]{f'|[{x}]' if x else ''})"
+    after = rf"(?:{letter}(?:{other}{sign}*)?)*"
+    return re.compile(rf"\n| +{sign}*{after}|{sign}+{after}|{letter}(?:{other}{sign}*)?{after}")
+
+
 _SPACE = "▁"
 
 
@@ -69,6 +81,9 @@ class Vocabulary:
                 rank = min(-model.get_score(i), float(n))
                 own[piece] = (i, -alpha * float(np.log(rank + RANK_SHIFT)))
                 self.surface[i] = piece.replace(_SPACE, " ").encode()
+        self.unit = units({a for x in own for a, b in zip(x, x[1:]) if a.isalnum() and b.isascii() and not b.isalnum()})
+        if any(a != _SPACE and b == _SPACE or "\n" in (a, b) for x in own for a, b in zip(x, x[1:])):
+            raise ValueError("a piece of this vocabulary crosses a space or a line break")
         self.byte_cost = -alpha * float(np.log(n + RANK_SHIFT))
         # a trie as sorted (node, character) keys
         nodes, keys, ends = {"": 0}, {}, {0: (-1, 0.0)}
@@ -104,16 +119,17 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {"": 0}
         # edges of state s: [edge[s], edge[s + 1]); state 0 is the end of a unit
-        self.edge = np.zeros(2, np.int64)
-        self.cum = np.zeros(0)
+        self.edge = np.zeros(2, np.int32)
+        self.cum = np.zeros(0, np.float32)
         self.logp = np.zeros(0)
-        self.next = np.zeros(0, np.int64)
-        self.id = np.zeros(0, np.int64)
+        self.next = np.zeros(0, np.int32)
+        self.id = np.zeros(0, np.int32)
+        # log of the sum over all ways to the end, and the states by the 64-bit hash of their suffix
+        self.beta = np.zeros(1)
+        self.hashes, self.state = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def learn(self, units: list[str]) -> None:
-        """Add the states of new units, all at once."""
-        if not units:
-            return
+        """Add the suffixes of new units that no state stands for yet, all at once."""
         text = "".join(units)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         # a space is written as the mark; a mark in the text itself has no piece (U+10FFFF stands in) and goes by its bytes
@@ -121,14 +137,31 @@ class Lattices:
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.repeat(np.cumsum(sizes), sizes)
         left = ends - np.arange(len(chars))
-        # edges: every piece that starts at a position; bytes stand in for a character that has no piece
-        at, node = np.arange(len(chars)), self.v.first[shown].astype(np.int64)
+        by_left = np.argsort(left, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(left)[1:])))
+        suffix = np.zeros(len(chars) + 1, np.uint64)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = by_left[lo:hi]
+            h = suffix[at + 1] if lo else np.uint64(0)
+            suffix[at] = mix(chars[at].astype(np.uint64) ^ (h * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(1))
+        values, first, inverse = np.unique(suffix[:-1], return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
+        old = self.hashes[place] == values if len(self.hashes) else np.zeros(len(values), bool)
+        known = np.where(old, self.state[place], -1) if len(self.hashes) else np.full(len(values), -1)
+        states = len(self.edge) - 1
+        fresh = np.flatnonzero(~old)
+        known[fresh] = states + np.arange(len(fresh))
+        sid = np.append(known[inverse], 0)
+        # edges: every piece that starts at a new suffix; bytes stand in for a character that has no piece
+        at = first[fresh]
+        node = self.v.first[shown[at]].astype(np.int64)
         none = node < 0
         single = np.where(none, -1, self.v.piece[np.maximum(node, 0)])
         froms, tos, ids, weights = [], [], [], []
-        missing = np.flatnonzero(single < 0)
+        missing = at[single < 0]
         width = 1 + (chars[missing] > 0x7F) + (chars[missing] > 0x7FF) + (chars[missing] > 0xFFFF)
-        froms.append(missing), tos.append(missing + 1), ids.append(-1 - chars[missing]), weights.append(width * self.v.byte_cost)
+        one = chars[missing] < 0x80
+        froms.append(missing), tos.append(missing + 1), ids.append(np.where(one, self.v.byte[chars[missing] * one], -1 - chars[missing])), weights.append(width * self.v.byte_cost)
         at, node, length = at[~none], node[~none], 1
         while len(at):
             hit = self.v.piece[node] >= 0
@@ -138,47 +171,59 @@ class Lattices:
             node = self.v.step(node, shown[at + length]) if len(at) else node
             at, node, length = at[node >= 0], node[node >= 0], length + 1
         a, b, i, w = (np.concatenate(x) for x in (froms, tos, ids, weights))
+        s, goes = sid[a], np.where(b == ends[a], 0, sid[b])
         # backward sums, by distance from the end of the unit
-        order = np.lexsort((a, left[a]))
-        a, b, i, w = a[order], b[order], i[order], w[order]
-        beta = np.zeros(len(chars) + 1)
-        total = np.zeros(len(a))
-        rows = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        dist = left[a[rows]]
-        cuts = np.flatnonzero(np.concatenate(([True], dist[1:] != dist[:-1], [True])))
-        row_ends = np.concatenate((rows[1:], [len(a)]))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        beta = np.concatenate((self.beta, np.zeros(len(fresh))))
+        order = np.lexsort((s, left[a]))
+        s, goes, i, w, dist = s[order], goes[order], i[order], w[order], left[a][order]
+        total = np.zeros(len(s))
+        rows = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+        row_ends = np.concatenate((rows[1:], [len(s)]))
+        d = dist[rows]
+        steps = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True]))) if len(rows) else np.zeros(1, np.int64)
+        for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist()):
             r = rows[lo:hi]
             x, y = r[0], row_ends[hi - 1]
-            value = w[x:y] + np.where(b[x:y] == ends[a[x:y]], 0.0, beta[b[x:y]])
+            value = w[x:y] + beta[goes[x:y]]
             total[x:y] = value
             top = np.maximum.reduceat(value, r - x)
             n = np.diff(np.concatenate((r, [y])))
-            beta[a[r]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), r - x))
-        logp = total - beta[a]
-        order = np.lexsort((-logp, a))
-        a, b, i, logp = a[order], b[order], i[order], logp[order]
-        n = np.bincount(a, minlength=len(chars))
-        firsts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        cum = np.cumsum(np.exp(logp))
-        cum -= np.repeat(cum[firsts] - np.exp(logp[firsts]), n)
-        cum[firsts + n - 1] = 1.0
-        states, offset = len(self.edge) - 1, len(self.cum)
-        self.edge = np.concatenate((self.edge, offset + np.cumsum(n)))
-        self.cum = np.concatenate((self.cum, cum))
-        self.logp = np.concatenate((self.logp, np.minimum(logp, 0.0)))
-        self.next = np.concatenate((self.next, np.where(b == ends[a], 0, states + b)))
-        self.id = np.concatenate((self.id, i))
-        self.start.update(zip(units, (states + np.cumsum(sizes) - sizes).tolist()))
+            beta[s[r]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), r - x))
+        logp = total - beta[s]
+        order = np.lexsort((-logp, s))
+        s, goes, i, logp = s[order], goes[order], i[order], logp[order]
+        n = np.bincount(s - states, minlength=len(fresh)) if len(s) else np.zeros(0, np.int64)
+        offset = len(self.cum)
+        if len(s):
+            firsts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            cum = np.cumsum(np.exp(logp))
+            cum -= np.repeat(cum[firsts] - np.exp(logp[firsts]), n)
+            cum[firsts + n - 1] = 1.0
+            self.edge = np.concatenate((self.edge, (offset + np.cumsum(n)).astype(np.int32)))
+            self.cum = np.concatenate((self.cum, cum.astype(np.float32)))
+            self.logp = np.concatenate((self.logp, np.minimum(logp, 0.0)))
+            self.next = np.concatenate((self.next, goes.astype(np.int32)))
+            self.id = np.concatenate((self.id, i.astype(np.int32)))
+            self.beta = beta
+            hashes, state = np.concatenate((self.hashes, values[fresh])), np.concatenate((self.state, known[fresh].astype(np.int32)))
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.state = hashes[order], state[order]
+        self.start.update(zip(units, sid[np.cumsum(sizes) - sizes].tolist()))
 
     def states(self, units: list[str]) -> np.ndarray:
         new = list(dict.fromkeys(u for u in set(units) if u not in self.start))
         # long texts bring their new units in parts, to bound the tables made at a time
-        for k in range(0, len(new), 50_000):
-            self.learn(sorted(new[k : k + 50_000]))
+        for k in range(0, len(new), 100_000):
+            self.learn(new[k : k + 100_000])
         return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
 
 
+@lru_cache(1)
+def tables_of(model: str, alpha: float) -> Lattices:
+    """The lattices of this worker process, kept from task to task."""
+    return Lattices(Vocabulary(model, alpha))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit counters (SplitMix64)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -247,7 +292,7 @@ def bounds(t: Lattices, edges: np.ndarray, sizes: np.ndarray, gumbel: np.ndarray
 
 def sample(t: Lattices, docs: list[str], keys: np.ndarray, k: int) -> list[list[Path]]:
     """Up to k distinct paths of each text, best perturbed score first (and one more bound kept in their agendas)."""
-    units = [_UNIT.findall(" " + d) if d else [] for d in docs]
+    units = [t.v.unit.findall(" " + d) if d else [] for d in docs]
     n_units = np.fromiter(map(len, units), np.int64, len(units))
     flat = [u for x in units for u in x]
     state = t.states(flat)
@@ -280,7 +325,7 @@ def sample(t: Lattices, docs: list[str], keys: np.ndarray, k: int) -> list[list[
             chosen = int(best.edges[at])
             banned = (*best.banned, chosen) if at == best.left and best.banned else (chosen,)
             # the state here: the edges of one state are neighbours
-            s = int(np.searchsorted(t.edge, chosen, "right")) - 1
+            s = int(t.edge.searchsorted(np.int32(chosen), "right")) - 1
             lo, hi = int(t.edge[s]), int(t.edge[s + 1])
             p = np.exp(t.logp[lo:hi])
             p[[x - lo for x in banned]] = 0.0
@@ -361,9 +406,8 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = None
         for whole in batches:
-            tables = tables or Lattices(Vocabulary(model, alpha))
+            tables = tables_of(model, alpha)
             ids, raw = whole.column(0).to_pylist(), texts(whole.column(1))
             at = 0
             while at < len(raw):
