@@ -72,7 +72,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMBER = re.compile(
     rf"(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<![\w.])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}(?!\.?\d)|(?<![\w.])\+\d{1,3}(?:\.\d{2,4}){2,4}(?!\.?\d)"
+    r"|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -110,14 +111,21 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 plain = m[0].replace(" ", "")
                 if 15 <= len(plain) <= 34 and mod97(plain) == 1:
                     found.append((m.start(), m.end(), "iban", plain))
-        for m in _NUMBER.finditer(text):
-            kind, plain = m.lastgroup, re.sub(r"\D", "", m[0])
+        at = digits.start() and max(0, digits.start() - 2)
+        while m := _NUMBER.search(text, at):
+            kind, found_, at = m.lastgroup, m[0], m.end()
+            if kind == "phone":
+                # a number that follows isn't part of it: at most 15 digits
+                while sum(map(str.isdigit, found_)) > 15 and (shorter := re.match(r"(.*\d)[ .-]\d+\Z", found_)):
+                    found_ = shorter[1]
+                at = m.start() + len(found_)
+            plain = re.sub(r"\D", "", found_)
             if kind == "ip":
-                found.append((m.start(), m.end(), kind, m[0]))
+                found.append((m.start(), at, kind, found_))
             elif kind == "phone" and 7 <= len(plain) <= 15:
-                found.append((m.start(), m.end(), kind, ("+" if m[0][0] == "+" else "") + plain))
+                found.append((m.start(), at, kind, ("+" if found_[0] == "+" else "") + plain))
             elif kind == "ssn" or kind == "card" and luhn(plain[:-1]) == int(plain[-1]):
-                found.append((m.start(), m.end(), kind, plain))
+                found.append((m.start(), at, kind, plain))
     if not _LEADS.isdisjoint(text.split()):
         for m in _PERSON.finditer(text):
             given, rest = ("own", "rest") if m["title"] else ("given", "surname")

@@ -28,6 +28,13 @@ def test_every_mention_changes_and_keeps_its_format():
     assert re.search(r"господин ([А-Я][а-я]+ов) и ([А-Я][а-я]+) [А-Я][а-я]+ова", new)
 
 
+def test_neighbours_are_told_apart():
+    text = "+1 (826) 555-4081 190.137.223.204 and +49 30 1234567 10.1.2.3, +44 20 7946 0958 123 4567 8901"
+    kinds = [k for k, _ in s.rewrite(text)[1]]
+    assert kinds[:4] == ["phone", "ip", "phone", "ip"] and kinds[4] == "phone"
+    assert not any(x in s.rewrite(text)[0] for x in ("190.137", "10.1.2.3", "555-4081", "1234567"))
+
+
 def test_permutations_are_bijections():
     for size in (1, 2, 7, 100, 1000):
         assert sorted(s.permute(i, size, "k", "t") for i in range(size)) == list(range(size))
