@@ -4,6 +4,9 @@ Pages are grouped by host; a line's ratio is the share of the host's pages
 that hold it.  Lines above the ratio (on hosts with enough pages) are
 boilerplate of that host and are dropped from all its pages.  Lines compare
 without white space at their ends; blank lines are never counted or dropped.
+A page that would lose over half its characters keeps all its lines: that much
+in common means copies of a page, not a frame around pages, and copies are for
+the near-duplicate stage to thin out without losing their text.
 
 A null host is a host of its own, null texts are empty pages (they count in
 the host's total), repeated rows count as pages of their own, and other
@@ -16,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, let, text_of
 
 MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Parts of a host at least; as many as there are shuffle partitions if those are more.
 SALTS = 32
 
 
@@ -44,16 +48,17 @@ def boilerplate(docs: DataFrame, host: str, max_ratio: float = MAX_RATIO, min_pa
 def drop_lines(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with text rewritten, and _n_lines, _n_dropped."""
     found = boilerplate(docs, host, max_ratio, min_pages)
-    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     text = text_of(docs)
     step = docs.withColumns({
         "_host": F.coalesce(docs[host].cast("string"), F.lit("")),
-        "_salt": F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"),
+        "_salt": F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"),
     }).join(salted, ["_host", "_salt"], "left")
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     # array_contains is null for blank lines and for hosts without boilerplate
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), key(x)), F.lit(False)))
-    step = step.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    step = step.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(let(kept, lambda k: F.when(F.length(F.array_join(k, "\n")) * 2 >= F.length("text"), k).otherwise(lines))))
     return step.select(
         *[F.when(F.col("_drop").isNull() & F.col("text").isNull(), None).otherwise(F.array_join("_kept", "\n")).alias(c) if c == "text" else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias("_n_lines"),

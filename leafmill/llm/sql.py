@@ -65,9 +65,9 @@ WITH d AS (
 ), marked AS (
   SELECT l.*, b.bare IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.host = b.host AND l.bare = b.bare
 )
-SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
-       count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped
-FROM marked JOIN d USING (rid) GROUP BY rid, doc_id
+SELECT doc_id, CASE WHEN length(k) * 2 >= length(t) THEN k ELSE t END AS text, n_lines, CASE WHEN length(k) * 2 >= length(t) THEN n_gone ELSE 0 END AS n_dropped
+FROM (SELECT doc_id, t, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS k, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_gone
+      FROM marked JOIN d USING (rid) GROUP BY rid, doc_id, t)
 """
 
 ORACLE = {

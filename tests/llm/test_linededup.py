@@ -1,20 +1,30 @@
 from leafmill.llm import linededup
 
 
+OWN = "Line {} says something of its own at some length."
+
+
 def test_boilerplate_of_one_host_goes(docs):
-    rows = [(i, f"Own line {i}.\n  Share this page \nshared by two" if i < 2 else f"Own line {i}.\nShare this page", "a") for i in range(20)]
-    rows += [(100 + i, f"Other {i}.\nShare this page" if i == 0 else f"Other {i}.", "b") for i in range(20)]
-    rows += [(200, None, "a"), (201, "", "a"), (202, "Own line 3.", None), (203, "Share this page\n\nShare this page", "a"), (203, "Share this page\n\nShare this page", "a")]
+    rows = [(i, OWN.format(i) + ("\n  Share this page \nshared by two" if i < 2 else "\nShare this page"), "a") for i in range(20)]
+    rows += [(100 + i, OWN.format(i) + ("\nShare this page" if i == 0 else ""), "b") for i in range(20)]
+    rows += [(200, None, "a"), (201, "", "a"), (202, OWN.format(3), None), (203, "Share this page\n\nShare this page", "a"), (203, "Share this page\n\nShare this page", "a")]
     own = docs(rows)
     out = linededup.dedup(own)
     assert out.columns == own.columns
     got = {(r["doc_id"], r["text"]) for r in out.collect()}
-    assert (0, "Own line 0.\nshared by two") in got and (7, "Own line 7.") in got
-    assert (100, "Other 0.\nShare this page") in got
-    assert (201, "") in got and (202, "Own line 3.") in got and (203, "") in got
+    assert (0, OWN.format(0) + "\nshared by two") in got and (7, OWN.format(7)) in got
+    assert (100, OWN.format(0) + "\nShare this page") in got
+    assert (201, "") in got and (202, OWN.format(3)) in got
+    assert (203, "Share this page\n\nShare this page") in got  # nothing else would be left
     assert out.count() == own.count()
 
 
+def test_copies_of_a_page_keep_their_text(docs):
+    page = "\n".join(OWN.format(i) for i in range(5))
+    own = docs([(i, page, "a") for i in range(8)] + [(10 + i, OWN.format(50 + i), "a") for i in range(8)])
+    assert [r["text"] for r in linededup.dedup(own).where("doc_id < 8").collect()] == [page] * 8
+
+
 def test_small_hosts_and_empty_tables(docs):
     own = docs([(i, "same line", "tiny") for i in range(4)])
     assert {r["text"] for r in linededup.dedup(own).collect()} == {"same line"}
