@@ -217,3 +217,50 @@ def dash_runs(strokes: DataFrame, tolerance: float = 2.0) -> DataFrame:
     first = F.col("gap").isNull() | (F.col("gap") > 12) | (F.col("gap") < 0)
     step = step.withColumn("run", F.sum((first | F.coalesce(new & F.lag("gap").over(order).between(0, 12), F.lit(False))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     return step.groupBy("canvas_id", "fixed", "run").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n >= 3")
+
+
+def scripts(fragments: DataFrame) -> DataFrame:
+    """Fragments raised or lowered beside a larger one: superscript or subscript."""
+    order = W.partitionBy("doc_id", "page", "band").orderBy("x", "frag_id")
+    size, base = F.lag("font_size").over(order), F.lag(F.col("y") + F.col("h")).over(order)
+    small = (F.col("font_size") <= size * 0.75) & (F.col("x") - F.lag(F.col("x") + F.col("w")).over(order) <= size * 0.3)
+    shift = (base - F.col("y") - F.col("h")) / size
+    return fragments.withColumn("script", F.when(small & (shift > 0.1), "super").when(small & (shift < -0.1), "sub"))
+
+
+def separators(lines: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Horizontal rules that no vertical line of their page meets: they part blocks and belong to no table grid."""
+    h = lines.where("horizontal").select("doc_id", "page", "line_id", F.col("fixed").alias("_y"), F.col("lo").alias("_a"), F.col("hi").alias("_b"))
+    v = lines.where("not horizontal").select("doc_id", "page", "fixed", "lo", "hi")
+    meets = (v["doc_id"] == h["doc_id"]) & (v["page"] == h["page"]) & v["fixed"].between(h["_a"] - tolerance, h["_b"] + tolerance) & h["_y"].between(v["lo"] - tolerance, v["hi"] + tolerance)
+    return h.join(v.alias("v"), meets, "left_anti").select("doc_id", "page", "line_id")
+
+
+def marked_up(fragments: DataFrame, annotations: DataFrame, share: float = 0.5) -> DataFrame:
+    """Fragments under an annotation's box by at least share of their width, with its kind."""
+    both = fragments.join(annotations, ["doc_id", "page"])
+    wide = F.least("x2", F.col("x") + F.col("w")) - F.greatest("x1", F.col("x"))
+    tall = F.least("y2", F.col("y") + F.col("h")) - F.greatest("y1", F.col("y"))
+    hit = both.where((wide >= F.col("w") * share) & (tall > 0))
+    return hit.groupBy("doc_id", "page", "frag_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+def decoded_codes(codes: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """Text of code sequences (text_id, pos, font, code) by their fonts' glyph maps; codes without one count as Latin-1."""
+    both = codes.join(glyphs, ["font", "code"], "left")
+    piece = F.coalesce("char", F.chr(F.col("code").cast("long")))
+    rows = both.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("c")))).alias("x"))
+    return rows.select("text_id", F.array_join(F.transform("x", lambda i: i["c"]), "").alias("text"))
+
+
+def measured(codes: DataFrame, widths: DataFrame, missing: int = 500) -> DataFrame:
+    """Width of code sequences at their size, from glyph widths in thousandths."""
+    both = codes.join(widths, ["font", "code"], "left")
+    return both.groupBy("text_id").agg(F.round(F.sum(F.coalesce("width", F.lit(missing)) * F.col("size")) / 1000, 6).alias("width"))
+
+
+def page_blocks(regions: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """Text, tables and images of a page as one ordered list (each has doc_id, page, y, x, ref)."""
+    parts = [d.select("doc_id", "page", "y", "x", "ref", F.lit(k).alias("kind")) for d, k in ((regions, "text"), (tables, "table"), (images, "image"))]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("y", "x", "kind", "ref")))

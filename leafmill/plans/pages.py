@@ -194,3 +194,80 @@ SELECT canvas_id, fixed, count(*) AS n, min(lo) AS lo, max(hi) AS hi FROM s GROU
 def _(connectors):
     strokes = connectors.select("canvas_id", F.lit(0).alias("fixed"), "connector_id", "resolved", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).selectExpr("canvas_id", "fixed", "connector_id * 200 + k * if(resolved, 8, 20) lo", "connector_id * 200 + k * if(resolved, 8, 20) + 5 hi")
     return layout.dash_runs(strokes).select("canvas_id", "fixed", "n", "lo", "hi")
+
+
+@query("e25_scripts", "fragments", sql=f"""
+WITH {_BANDS}, p AS (SELECT *, CASE WHEN frag_id % 5 = 4 THEN 6.0 ELSE 10.0 END AS fs, band * 20 + CASE WHEN frag_id % 5 = 4 AND page % 2 = 0 THEN 4 WHEN frag_id % 5 = 4 THEN -4 ELSE 0 END AS yy, frag_id * 50.0 AS xx FROM bands),
+l AS (SELECT *, lag(fs) OVER v AS ps, lag(yy + 12) OVER v AS pb, lag(xx + 49) OVER v AS pe FROM p WINDOW v AS (PARTITION BY doc_id, page, band ORDER BY xx, frag_id))
+SELECT doc_id, page, frag_id, CASE WHEN fs <= ps * 0.75 AND xx - pe <= ps * 0.3 AND (pb - yy - 12) / ps > 0.1 THEN 'super' WHEN fs <= ps * 0.75 AND xx - pe <= ps * 0.3 AND (pb - yy - 12) / ps < -0.1 THEN 'sub' END AS script FROM l
+""")
+def _(fragments):
+    rows = layout.bands(fragments).selectExpr(
+        "doc_id", "page", "frag_id", "band", "if(frag_id % 5 = 4, 6D, 10D) font_size", "cast(band * 20 + case when frag_id % 5 = 4 and page % 2 = 0 then 4 when frag_id % 5 = 4 then -4 else 0 end as double) y", "frag_id * 50D x", "49D w", "12D h"
+    )
+    return layout.scripts(rows).select("doc_id", "page", "frag_id", "script")
+
+
+@query("e26_separator_rules", "fragments", sql="""
+WITH h AS (SELECT doc_id, page, frag_id AS line_id, y, x AS a, x + w AS b FROM fragments WHERE frag_id % 4 = 0), v AS (SELECT doc_id, page, x AS f, y AS lo, y + 60 AS hi FROM fragments WHERE frag_id % 4 = 1)
+SELECT doc_id, page, line_id FROM h WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = h.doc_id AND v.page = h.page AND f BETWEEN a - 2 AND b + 2 AND y BETWEEN lo - 2 AND hi + 2)
+""")
+def _(fragments):
+    lines = fragments.where("frag_id % 4 < 2").selectExpr("doc_id", "page", "frag_id line_id", "frag_id % 4 = 0 horizontal", "if(frag_id % 4 = 0, y, x) fixed", "if(frag_id % 4 = 0, x, y) lo", "if(frag_id % 4 = 0, x + w, y + 60) hi")
+    return layout.separators(lines)
+
+
+@query("e27_annotation_markup", "fragments", sql="""
+WITH a AS (SELECT doc_id, page, x + 10 AS x1, x + 60 AS x2, y - 2 AS y1, y + 14 AS y2, CASE frag_id % 3 WHEN 0 THEN 'strike' WHEN 1 THEN 'underline' ELSE 'link' END AS kind FROM fragments WHERE frag_id % 6 < 2)
+SELECT f.doc_id, f.page, frag_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM fragments f JOIN a ON a.doc_id = f.doc_id AND a.page = f.page AND least(x2, x + w) - greatest(x1, x) >= w * 0.5 AND least(y2, y + h) - greatest(y1, y) > 0 GROUP BY ALL
+""")
+def _(fragments):
+    notes = fragments.where("frag_id % 6 < 2").selectExpr("doc_id", "page", "x + 10 x1", "x + 60 x2", "y - 2 y1", "y + 14 y2", "case frag_id % 3 when 0 then 'strike' when 1 then 'underline' else 'link' end kind")
+    return layout.marked_up(fragments, notes)
+
+
+_CODES = "c AS (SELECT o_orderkey AS text_id, unnest(generate_series(0, 3)) AS pos, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS font, 65 + (o_custkey + unnest(generate_series(0, 3))) % 20 AS code, 8 + o_custkey % 5 AS size FROM orders)"
+
+
+def _codes(orders):
+    return orders.select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).selectExpr("o_orderkey text_id", "pos", "if(o_custkey % 2 = 0, 'A', 'B') font", "65 + (o_custkey + pos) % 20 code", "8 + o_custkey % 5 size")
+
+
+@query("e22_decoded_codes", "orders", "nation", sql=f"WITH {_CODES} SELECT text_id, string_agg(CASE WHEN font = 'A' AND code - 65 IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0) THEN 'x' || (code - 65) ELSE chr(CAST(code AS INT)) END, '' ORDER BY pos) AS text FROM c GROUP BY text_id")
+def _(orders, nation):
+    glyphs = nation.where("n_nationkey % 3 = 0").selectExpr("'A' font", "cast(n_nationkey + 65 as bigint) code", "concat('x', n_nationkey) char")
+    return layout.decoded_codes(_codes(orders), glyphs)
+
+
+@query("e23_measured_texts", "orders", "nation", sql=f"WITH {_CODES} SELECT text_id, round(sum(CASE WHEN font = 'A' THEN 300 + (code - 65) * 10 ELSE 500 END * size) / 1000, 6) AS width FROM c GROUP BY text_id")
+def _(orders, nation):
+    widths = nation.selectExpr("'A' font", "cast(n_nationkey + 65 as bigint) code", "300 + n_nationkey * 10 width")
+    return layout.measured(_codes(orders), widths)
+
+
+@query("e28_page_blocks", "fragments", sql="""
+SELECT doc_id, page, frag_id AS ref, CASE WHEN frag_id % 7 = 0 THEN 'table' WHEN frag_id % 7 = 1 THEN 'image' ELSE 'text' END AS kind, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, CASE WHEN frag_id % 7 = 0 THEN 'table' WHEN frag_id % 7 = 1 THEN 'image' ELSE 'text' END, frag_id) AS INT) AS place FROM fragments
+""")
+def _(fragments):
+    rows = fragments.withColumn("ref", F.col("frag_id"))
+    return layout.page_blocks(rows.where("frag_id % 7 > 1"), rows.where("frag_id % 7 = 0"), rows.where("frag_id % 7 = 1")).select("doc_id", "page", "ref", "kind", "place")
+
+
+@query("e41_layout_record", "cells", sql="""
+WITH r AS (SELECT sheet_id, row_no, 4 + sum(length(coalesce(value, '')) + 3) AS n FROM cells GROUP BY sheet_id, row_no)
+SELECT sheet_id, row_no, CAST(n AS BIGINT) AS length, CAST(coalesce(sum(n + 1) OVER (PARTITION BY sheet_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM r
+""")
+def _(cells):
+    """Where each row's line starts in its sheet's text."""
+    from pyspark.sql import Window as W
+
+    rows = cells.groupBy("sheet_id", "row_no").agg((F.sum(F.length(F.coalesce("value", F.lit(""))) + 3) + 4).alias("length"))
+    before = W.partitionBy("sheet_id").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("start", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).cast("long"))
+
+
+@query("k6_json_lines", "nodes", sql="SELECT node_id, kind, text, ord FROM nodes WHERE ord % 2 = 0")
+def _(nodes):
+    """Nodes as JSON lines, read again under an explicit schema."""
+    lines = nodes.where("ord % 2 = 0").select(F.to_json(F.struct("node_id", "kind", "text", "ord")).alias("line"))
+    return lines.select(F.from_json("line", "node_id string, kind string, text string, ord int").alias("n")).select("n.*")
