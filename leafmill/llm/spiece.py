@@ -44,9 +44,9 @@ from .common import texts
 SAMPLES, ALPHA, SEED = 2, 1.0, 42
 RANK_SHIFT = 10.0
 #: Lattice states that a worker remembers, from task to task, before it forgets them all.
-MEMORY = 3_000_000
+MEMORY = 2_000_000
 #: Characters of a batch that are sampled at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 
@@ -55,7 +55,8 @@ def units(crossed: set[str]) -> re.Pattern:
     x = "".join(map(re.escape, sorted(crossed)))
     letter, sign, other = rf"[^\W_{x}]+", rf"(?:[^\w \n]|[_{x}])", rf"(?:[^\w \n!-/:-@\[-`{{-~]{f'|[{x}]' if x else ''})"
     after = rf"(?:{letter}(?:{other}{sign}*)?)*"
-    return re.compile(rf"\n| +{sign}*{after}|{sign}+{after}|{letter}(?:{other}{sign}*)?{after}")
+    # the first branch, a word that no sign follows but punctuation, is most of a text
+    return re.compile(rf" +{letter}+(?!{other})|\n| +{sign}*{after}|{sign}+{after}|{letter}(?:{other}{sign}*)?{after}")
 
 
 _SPACE = "▁"
@@ -211,11 +212,14 @@ class Lattices:
         self.start.update(zip(units, sid[np.cumsum(sizes) - sizes].tolist()))
 
     def states(self, units: list[str]) -> np.ndarray:
-        new = list(dict.fromkeys(u for u in set(units) if u not in self.start))
-        # long texts bring their new units in parts, to bound the tables made at a time
-        for k in range(0, len(new), 100_000):
-            self.learn(new[k : k + 100_000])
-        return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+        found = list(map(self.start.get, units))
+        if None in found:
+            new = list(dict.fromkeys(u for u, s in zip(units, found) if s is None))
+            # long texts bring their new units in parts, to bound the tables made at a time
+            for k in range(0, len(new), 100_000):
+                self.learn(new[k : k + 100_000])
+            found = list(map(self.start.__getitem__, units))
+        return np.array(found, np.int64)
 
 
 @lru_cache(1)
@@ -234,7 +238,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), one for each key and counter."""
-    return ((mix(key ^ mix(counter.astype(np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mix(key ^ mix(np.asarray(counter, np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def walk(t: Lattices, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +247,7 @@ def walk(t: Lattices, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, n
     state, k = state[who], 0
     while len(who):
         at = t.edge[state]
-        u = uniform(key[who], np.full(len(who), k))
+        u = uniform(key[who], np.full(1, k))
         up = np.flatnonzero(t.cum[at] < u)
         while len(up):
             at[up] += 1
