@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import numberformat
 from ..operators import inference, layout
 from ..sources import html
+from ..storage import shared_dir
 from ..streaming import ingest
 from .registry import query
 
@@ -162,11 +163,11 @@ def _(events):
 SELECT doc_id, count(*) AS n_lines, CAST(sum(length(raw)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents) WHERE trim(raw) <> '' GROUP BY doc_id
 """)
 def _(documents):
-    """documents as a stream of files through the stateless line plan, into a memory table."""
+    """documents as a stream of files through the stateless line plan, into a table."""
     spark = documents.sparkSession
-    folder = tempfile.mkdtemp(prefix="leafmill-stream-")
-    documents.repartition(4).write.mode("overwrite").parquet(f"file://{folder}/in")
-    stream = ingest.lines(ingest.arriving(spark, f"file://{folder}/in", documents.schema, 2))
-    name = f"streamed_{abs(hash(folder))}"
-    stream.select("doc_id", "raw").writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("raw")).alias("chars"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    documents.repartition(4).write.parquet(f"{folder}/in")
+    stream = ingest.lines(ingest.arriving(spark, f"{folder}/in", documents.schema, 2)).select("doc_id", "raw")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return out.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("raw")).alias("chars"))
