@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# The patterns that decide what search sees.
 _ESCAPES = r"\\([!\"#$%&'()*+,\-./:;<=>?@\[\]\\^_`{|}~])"
 _MARKUP = r"(?<!\\)(?:</?(?:u|ins|del|sub|sup)>|\*\*|~~)"
 _BREAKS = r"(?i)(?:<br\s*/?>|\s)+"

@@ -25,12 +25,19 @@ def token_estimate(text: Column, multiplier: float = 1.0) -> Column:
     return (estimate if multiplier == 1 else F.ceil(estimate * multiplier)).cast("long")
 
 
+# What is no content of a Markdown text.
+_FRONT_MATTER = r"\A---\r?\n(?s:.*?)\r?\n---\r?\n"
+_COMMENT = r"(?s)<!--.*?-->"
+_FENCE_LINE = r"(?m)^```[^\n]*$"
+_LINK_TARGET = r"\]\([^)]*\)"
+
+
 def strip_markdown(text: Column) -> Column:
     """Drop front matter, comments, fence lines and link targets."""
-    t = F.regexp_replace(text, r"\A---\r?\n(?s:.*?)\r?\n---\r?\n", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?m)^```[^\n]*$", "")
-    return F.regexp_replace(t, r"\]\([^)]*\)", "]")
+    t = F.regexp_replace(text, _FRONT_MATTER, "")
+    t = F.regexp_replace(t, _COMMENT, " ")
+    t = F.regexp_replace(t, _FENCE_LINE, "")
+    return F.regexp_replace(t, _LINK_TARGET, "]")
 
 
 #: Scripts whose characters pair up into bigrams.

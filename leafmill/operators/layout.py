@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+# Weights of a connection's distance, ray, angle and corridor, and what a node in between costs.
+WEIGHTS, BLOCKED = (0.45, 0.20, 0.15, 0.10), 0.6
+
+
 def middle(values: Column) -> Column:
     """Element n // 2 of the sorted values: a median that is one of them."""
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
@@ -187,9 +191,9 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def connection_score(distance_: Column, ray: Column, angle: Column, corridor: Column, blocked: Column) -> Column:
-    """Weighted mean of the parts (each 0 to 1), less 0.6 if a node lies between."""
-    total = (distance_ * 0.45 + ray * 0.20 + angle * 0.15 + corridor * 0.10) / 0.90
-    return total - F.when(blocked, 0.6).otherwise(0.0)
+    """Weighted mean of the parts (each 0 to 1), less BLOCKED if a node lies between."""
+    total = sum((part * weight for part, weight in zip((distance_, ray, angle, corridor), WEIGHTS)), F.lit(0.0)) / sum(WEIGHTS)
+    return total - F.when(blocked, BLOCKED).otherwise(0.0)
 
 
 def confidence_class(score: Column, margin: Column) -> Column:

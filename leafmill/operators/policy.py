@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# The policies, and the layers and kinds that each leaves out.
 POLICIES = ("visible", "complete", "sanitized")
+NEVER_LAYERS, NEVER_KINDS = ("Hidden", "Metadata"), ("Comment", "Revision", "SpeakerNotes")
+SANITIZED_LAYERS, SANITIZED_KINDS = ("Furniture", "Derived"), ("Header", "Footer", "Footnote", "Endnote", "ImageText", "Annotation")
+# What makes a formula dangerous or suspicious.
+DANGEROUS, SUSPICIOUS = ("DDE", "WEBSERVICE", "CALL("), ("INDIRECT", "HYPERLINK", "IMPORT")
 
 
 def included(policy: str = "visible") -> Column:
@@ -15,9 +20,9 @@ def included(policy: str = "visible") -> Column:
         raise ValueError(f"policy must be one of {POLICIES}")
     if policy == "complete":
         return F.lit(True)
-    shown = ~F.col("layer").isin("Hidden", "Metadata") & ~F.col("kind").isin("Comment", "Revision", "SpeakerNotes")
+    shown = ~F.col("layer").isin(*NEVER_LAYERS) & ~F.col("kind").isin(*NEVER_KINDS)
     if policy == "sanitized":
-        shown &= ~F.col("layer").isin("Furniture", "Derived") & ~F.col("kind").isin("Header", "Footer", "Footnote", "Endnote", "ImageText", "Annotation")
+        shown &= ~F.col("layer").isin(*SANITIZED_LAYERS) & ~F.col("kind").isin(*SANITIZED_KINDS)
     return shown
 
 
@@ -60,10 +65,14 @@ def blank_cell() -> Column:
 
 def formula_safety() -> Column:
     f = F.upper(F.coalesce("formula", F.lit("")))
-    return (
-        F.when(f.rlike(r"[\[\]]") | f.contains("DDE") | f.contains("WEBSERVICE") | f.contains("CALL("), "Dangerous")
-        .when(f.contains("INDIRECT") | f.contains("HYPERLINK") | f.contains("IMPORT"), "Suspicious").otherwise("Safe")
-    )
+
+    def has(words) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out |= f.contains(w)
+        return out
+
+    return F.when(f.rlike(r"[\[\]]") | has(DANGEROUS), "Dangerous").when(has(SUSPICIOUS), "Suspicious").otherwise("Safe")
 
 
 def revision_view(runs: DataFrame, view: str = "final") -> DataFrame:
