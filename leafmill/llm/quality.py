@@ -35,20 +35,45 @@ def squeezed(x: Column) -> Column:
     return F.length(F.regexp_replace(x, SPACE, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that one of the line rules removes; blank lines never fail."""
-    bare = F.regexp_replace(line, SPACE, "")
+#: One of these is in every line that BOILERPLATE finds.
+HINTS = (
+    "all rights reserved", "©", "copyright (c)", "terms of", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "read more", "sign up", "subscribe", "powered by",
+    "licensed under", "released under", "share ",
+)
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text can have a boilerplate phrase at all: plain searches, so that most texts skip the pattern."""
+    def any_of(low: Column) -> Column:
+        out = F.contains(low, F.lit(HINTS[0]))
+        for h in HINTS[1:]:
+            out |= F.contains(low, F.lit(h))
+        return out
+
+    return let(F.lower(text), any_of)
+
+
+def line_fails(line: Column, hint: Column) -> Column:
+    """True for a line that one of the line rules removes; blank lines never fail.  hint: see ``hinted``, of the line or its text.
+
+    Cheap tests come first; And and Or stop at the first that decides.
+    """
     words = F.split(F.regexp_replace(line, f"^{SPACE}|{SPACE}$", ""), SPACE)
     separators = F.size(F.filter(words, lambda w: w.rlike(SEPARATOR)))
     symbols = F.length(F.regexp_replace(line, SYMBOLS, ""))
-    return (F.length(bare) > 0) & (
-        (symbols * 100 > F.length(bare) * MAX_SYMBOL_PERCENT)
-        | ((separators >= MIN_NAV) & (separators * 100 >= F.size(words) * NAV_PERCENT))
-        | ((F.size(words) >= LONG_LINE) & ~line.rlike(SENTENCE))
-        | F.lower(line).rlike(BOILERPLATE)
+    return line.rlike(WORD) & (
+        ((symbols > 0) & (symbols * 100 > squeezed(line) * MAX_SYMBOL_PERCENT))
+        | (line.rlike(r"[|>/»›•·]") & (separators >= MIN_NAV) & (separators * 100 >= F.size(words) * NAV_PERCENT))
+        | (~line.rlike(SENTENCE) & (F.size(words) >= LONG_LINE))
+        | (hint & F.lower(line).rlike(BOILERPLATE))
     )
 
 
+def cleaned(text: Column) -> Column:
+    """The text without its failing lines."""
+    return let(hinted(text), lambda hint: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, hint)), "\n"))
+
+
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of `window` words that occurs at least twice.
 
@@ -98,7 +123,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.array_join(F.filter("_l", lambda x: ~line_fails(x)), "\n").alias("clean_text"),
+        cleaned(F.col("_t")).alias("clean_text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     enough = squeezed(F.col("clean_text")) * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT
@@ -111,9 +136,8 @@ def measure(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, their failing lines removed; same columns as the input."""
     text = text_of(docs)
-    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    step = docs.select("*", cleaned.alias("_clean"), words.alias("_words"))
+    step = docs.select("*", cleaned(text).alias("_clean"), words.alias("_words"))
     step = step.where(
         (F.size("_words") >= MIN_WORDS)
         & (squeezed(F.col("_clean")) * 100 >= squeezed(F.col("text")) * MIN_KEPT_PERCENT)
