@@ -65,6 +65,11 @@ def let(v: Column, body) -> Column:
     return F.get(F.transform(F.array(v), body), F.lit(0))
 
 
+def bind(values: list[Column], body) -> Column:
+    """body over values, each evaluated once however often body names it (nested expressions would double at every level)."""
+    return let(F.array(*values), lambda a: body([F.get(a, F.lit(i)) for i in range(len(values))]))
+
+
 def spread(values: list[Column], body) -> Column:
     """body over values; the first unknown or error among them wins."""
     if not values:
@@ -79,7 +84,7 @@ def spread(values: list[Column], body) -> Column:
 
 
 def numeric(values: list[Column], body) -> Column:
-    return spread([to_number(v) for v in values], lambda n: body([x["num"] for x in n]))
+    return bind(values, lambda v: spread([to_number(x) for x in v], lambda n: body([x["num"] for x in n])))
 
 
 def number(n: Column) -> Column:
@@ -131,7 +136,7 @@ def _functions() -> dict:
     kind = lambda *k: lambda a: let(a[0], lambda v: F.when(v["kind"] == "unknown", v).otherwise(value("boolean", v["kind"].isin(*k).cast("int"))))
 
     def logic(f):
-        return lambda a: spread([to_bool(v) for v in a], lambda b: value("boolean", f([x["num"] != 0 for x in b]).cast("int")))
+        return lambda a: bind(a, lambda v: spread([to_bool(x) for x in v], lambda b: value("boolean", f([x["num"] != 0 for x in b]).cast("int"))))
 
     def text(f):
         return lambda a: spread(a, lambda v: value("text", text=f(to_text(v[0]), *[to_number(x)["num"] for x in v[1:]])))
@@ -156,7 +161,7 @@ def _functions() -> dict:
 
     def choose(a):
         rest = a[2] if len(a) > 2 else value("boolean", F.lit(0))
-        return let(to_bool(a[0]), lambda c: F.when(c["kind"].isin("error", "unknown"), c).when(c["num"] != 0, a[1]).otherwise(rest))
+        return let(let(a[0], to_bool), lambda c: F.when(c["kind"].isin("error", "unknown"), c).when(c["num"] != 0, a[1]).otherwise(rest))
 
     def find(fold):
         def at(a):
@@ -181,7 +186,7 @@ def _functions() -> dict:
         "ISNA": (1, 1, lambda a: let(a[0], lambda v: F.when(v["kind"] == "unknown", v).otherwise(value("boolean", F.coalesce((v["kind"] == "error") & (v["text"] == "#N/A"), F.lit(False)).cast("int"))))),
         "ISERR": (1, 1, lambda a: let(a[0], lambda v: F.when(v["kind"] == "unknown", v).otherwise(value("boolean", F.coalesce((v["kind"] == "error") & (v["text"] != "#N/A"), F.lit(False)).cast("int"))))),
         "N": (1, 1, lambda a: let(a[0], lambda v: F.when(v["kind"].isin("error", "unknown"), v).when(v["kind"].isin("number", "boolean"), value("number", v["num"])).otherwise(value("number", F.lit(0.0))))),
-        "VALUE": (1, 1, lambda a: to_number(a[0])),
+        "VALUE": (1, 1, lambda a: let(a[0], to_number)),
         "ABS": (1, 1, num(F.abs)), "INT": (1, 1, num(F.floor)), "SIGN": (1, 1, num(F.signum)), "TRUNC": (1, 1, num(lambda n: F.signum(n) * F.floor(F.abs(n)))),
         "MOD": (2, 2, lambda a: numeric(a, lambda n: F.when(n[1] == 0, error("#DIV/0!")).otherwise(number(n[0] - n[1] * F.floor(n[0] / F.nullif(n[1], F.lit(0.0))))))),
         **{m: (2, 2, (lambda m: num(lambda n, d: excel_round(n, d, m)))(m)) for m in ("ROUND", "ROUNDUP", "ROUNDDOWN")},
@@ -189,7 +194,7 @@ def _functions() -> dict:
         "TRIM": (1, 1, text(lambda t: F.regexp_replace(F.trim(t), " +", " "))), "LEFT": (1, 2, text(left)), "RIGHT": (1, 2, text(right)),
         "MID": (3, 3, text(lambda t, i, n: F.substr(t, i.cast("int"), n.cast("int")))), "FIND": (2, 3, find(False)), "SEARCH": (2, 3, find(True)),
         "EXACT": (2, 2, lambda a: spread(a, lambda v: value("boolean", (to_text(v[0]) == to_text(v[1])).cast("int")))),
-        **{p: (1, 1, (lambda p: lambda a: spread([to_number(a[0])], lambda n: date_part(n[0]["num"], p)))(p)) for p in ("YEAR", "MONTH", "DAY")},
+        **{p: (1, 1, (lambda p: lambda a: spread([let(a[0], to_number)], lambda n: date_part(n[0]["num"], p)))(p)) for p in ("YEAR", "MONTH", "DAY")},
         "WEEKDAY": (1, 2, lambda a: numeric(a if len(a) > 1 else [a[0], value("number", F.lit(1.0))], lambda n: F.when(n[1] == 1, number((F.floor(n[0]) + 6) % 7 + 1)).when(n[1] == 2, number((F.floor(n[0]) + 5) % 7 + 1)).when(n[1] == 3, number((F.floor(n[0]) + 5) % 7)).otherwise(error("#NUM!")))),
         "DATE": (3, 3, lambda a: numeric(a, lambda n: number(F.datediff(F.add_months(F.make_date(F.when(n[0] < 1900, n[0] + 1900).otherwise(n[0]).cast("int"), F.lit(1), F.lit(1)), (n[1] - 1).cast("int")), F.lit("1899-12-30").cast("date")) + n[2] - 1))),
     }
