@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir  # noqa: F401  (the operators import them from here)
+
 #: One or more of the six ASCII white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,24 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Give memory that a task has freed back to the system, so that idle workers stay small (glibc; elsewhere nothing happens)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def let(value: Column, body) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import materialize, release, texts
 
 DEPTH = 5
 GRAM_SHARD, WORD_SHARD = 2_900_000, 2_900_000
@@ -126,6 +126,8 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
             for k in range(0, len(c.keys), 200_000):
                 keys = c.keys[k : k + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(c.n[k : k + 200_000])], names=["kind", "key", "n"])
+        del sums, c
+        release()
 
     own = docs.select(held_out(docs["doc_id"]).alias("held"), docs["text"].cast("string"))
     return own.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import release, texts
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 42
 RANK_SHIFT = 10.0
@@ -421,6 +421,7 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
                     end += 1
                 yield block(tables, ids[at:end], raw[at:end])
                 at = end
+        release()
 
     def block(t: Lattices, ids: list, raw: list[bytes]) -> pa.RecordBatch:
         if len(t.edge) > MEMORY:
