@@ -214,11 +214,13 @@ class Lattices:
     def states(self, units: list[str]) -> np.ndarray:
         found = list(map(self.start.get, units))
         if None in found:
-            new = list(dict.fromkeys(u for u, s in zip(units, found) if s is None))
+            missing = [i for i, s in enumerate(found) if s is None]
+            new = list(dict.fromkeys([units[i] for i in missing]))
             # long texts bring their new units in parts, to bound the tables made at a time
             for k in range(0, len(new), 100_000):
                 self.learn(new[k : k + 100_000])
-            found = list(map(self.start.__getitem__, units))
+            for i in missing:
+                found[i] = self.start[units[i]]
         return np.array(found, np.int64)
 
 
@@ -236,9 +238,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(1)
+def mixed(size: int) -> np.ndarray:
+    """Mixed counters from 0."""
+    return mix(np.arange(size, dtype=np.uint64))
+
+
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), one for each key and counter."""
-    return ((mix(key ^ mix(np.asarray(counter, np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return unit(mix(key ^ mix(np.asarray(counter, np.uint64))))
+
+
+def unit(bits: np.ndarray) -> np.ndarray:
+    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def walk(t: Lattices, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +302,9 @@ def bounds(t: Lattices, edges: np.ndarray, sizes: np.ndarray, gumbel: np.ndarray
     base = np.where(sizes > 0, run[np.minimum(first, max(0, len(run) - 1))] - logp[np.minimum(first, max(0, len(run) - 1))], 0.0) if len(run) else np.zeros(len(sizes))
     total = run - np.repeat(base - before, sizes)
     place = total - logp + log1mexp(logp)
-    noise = np.log(-np.log(uniform(np.repeat(key, sizes), np.arange(len(edges)) - np.repeat(first, sizes))))
+    # one number for each document and position
+    counters = mixed(1 << max(16, int(sizes.max(initial=0)).bit_length()))[np.arange(len(edges)) - np.repeat(first, sizes)]
+    noise = np.log(-np.log(unit(mix(np.repeat(key, sizes) ^ counters))))
     return -np.logaddexp(-np.repeat(gumbel, sizes), noise - place), total
 
 
