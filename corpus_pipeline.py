@@ -2,7 +2,7 @@
 
 1. quality_rules: rejected documents go, failing lines of the others too.
 2. line_dedup: lines on over a tenth of a source's documents go.
-3. near_dedup: one document of each SimHash group stays, the one with the smallest doc_id.
+3. near_dedup: of documents whose five-word runs are similar by 0.8 or more one stays, the one with the smallest doc_id.
 4. decontaminate: documents that overlap a benchmark item go.
 5. segment: two distinct sampled SentencePiece segmentations of every document that is left.
 """
@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontam, linededup, quality, simhash, spiece
+from leafmill.llm import decontam, linededup, neardup, quality, spiece
 from leafmill.llm.common import shared_dir, table
 from leafmill.llm.queries import vocabulary
 
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
