@@ -57,7 +57,9 @@ _SYLLABLES = {
 }
 _GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 _TITLE = {title: gender for gender, titles in TITLES.items() for title in titles}
-_LEADS = set(_GENDER) | set(_TITLE) | {f"{t}." for t in _TITLE}
+#: First word of every title and given name; each match of _PERSON begins with one that stands between non-word characters.
+_LEADS = {re.match(r"\w+", lead)[0] for lead in [*_GENDER, *_TITLE]}
+_WORD = re.compile(r"\w+")
 
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _LOWER = "a-zß-öø-ÿа-яё"
@@ -126,7 +128,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), at, kind, ("+" if found_[0] == "+" else "") + plain))
             elif kind == "ssn" or kind == "card" and luhn(plain[:-1]) == int(plain[-1]):
                 found.append((m.start(), at, kind, plain))
-    if not _LEADS.isdisjoint(text.split()):
+    if not _LEADS.isdisjoint(_WORD.findall(text)):
         for m in _PERSON.finditer(text):
             given, rest = ("own", "rest") if m["title"] else ("given", "surname")
             script, gender = _GENDER.get(m[given], ("cyrillic" if re.search("[А-Яа-яЁё]", m[0]) else "latin", _TITLE.get(m["title"])))

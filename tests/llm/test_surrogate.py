@@ -66,3 +66,16 @@ def test_collisions_take_another_attempt(docs, spark, monkeypatch):
     odd = {(r["kind"], r["norm"]): r["attempt"] for r in s.exceptions(few).collect()}
     new = [s.surrogate("given:latin:m", n, attempt=odd.get(("given:latin:m", n), 0)) for n in s.GIVEN[("latin", "m")]]
     assert len(set(new)) == len(new) and all(a != b for a, b in zip(new, s.GIVEN[("latin", "m")]))
+
+
+def test_names_beside_punctuation_are_found():
+    texts = ["He (Dr. Meyer) left.", '"Anna Berg" said so.', "Author:Anna Berg", "[Mr Berg]", "—Frau Weber", "(г-н Иванов)", "x/M. Petit", "see«Анна Петрова»"]
+    for text in texts:
+        found = [(text[a:b], kind.split(":")[0]) for a, b, kind, _ in s.detect(text)]
+        assert ("surname" in {k for _, k in found}), text
+        # an unrelated lead word elsewhere changes nothing
+        assert [(text[a:b], kind.split(":")[0]) for a, b, kind, _ in s.detect(f"{text}\nAnna")] == found
+    for lead in [*s._GENDER, *s._TITLE]:
+        for before in ("", "(", '"', ":", " ", "-", "́"):
+            text = f"{before}{lead} Zander{'ов' if lead[0] > 'я' else ''}"
+            assert any(kind.startswith("surname") for _, _, kind, _ in s.detect(text)) == any(m["rest"] or m["surname"] for m in s._PERSON.finditer(text))
