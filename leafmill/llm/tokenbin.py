@@ -39,7 +39,8 @@ MANIFEST = "shard long, path string, n_docs long, n_ids long, width long"
 MEMORY = 600_000
 
 #: A word that ends in a letter or digit, and the ASCII punctuation after it (never an apostrophe, which may join the letters).
-_TAIL = re.compile(rb"(.*(?:[a-zA-Z0-9]|[\xc3-\xc9][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.S)
+#: U+00D7 and U+00F7 are no letters, and U+0130 ends in a combining mark once it is in lower case.
+_TAIL = re.compile(rb"(.*(?:[a-zA-Z0-9]|(?!\xc3[\x97\xb7]|\xc4\xb0)[\xc3-\xc9][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.S)
 #: Bytes of text encoded at a time.
 BLOCK = 1_000_000
 

@@ -30,3 +30,10 @@ def test_null_ids_come_first_and_empty_tables(docs, tmp_path):
     out = tokenbin.round_trip(docs([(1, "a b"), (None, "c")]), MODEL, 2, f"file://{tmp_path}/x").collect()
     assert {(r["doc_id"], r["start"]) for r in out} == {(None, 0), (1, 2)}
     assert tokenbin.round_trip(docs([(1, "a")]).where("false"), MODEL, 2, f"file://{tmp_path}/y").count() == 0
+
+
+def test_every_two_byte_letter_before_punctuation():
+    encoder = tokenbin.WordEncoder(MODEL)
+    words = [f"{head}{chr(c)}{tail}" for c in range(0xC0, 0x280) for head in ("", "10", "ab") for tail in (".", ",", ")", "(", "...", '".', "-")]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([w.encode() for w in words])]
+    assert [w for w, ids in zip(words, got) if ids != encoder.ids(w)] == []
