@@ -52,3 +52,18 @@ def test_held_out_accuracy():
         score = hosturl.Model({}, rest, prior_block=0.5).score("".join(text.split()) + ".test", "/")
         right += (score > 0) == (label == "block")
     assert right / len(hosturl.SEED_ROWS) > 0.5
+
+
+def test_one_strong_word_decides_and_page_words_split_names(spark):
+    urls = [f"http://{h}.example.com/en/{i}" for i in range(3) for h in ("m.ads-track", "www.spam-farm", "casino-win", "free-bets", "cheap-pills", "tionsh", "city-museum", "free-software")]
+    urls += ["http://walnut.example.org/en/1", "http://basket-shop.example.org/en/2", "http://blog.walnutbasket.example.com/en/3"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    rows = {r["url"]: r for r in hosturl.judge(pages).collect()}
+    for url, r in rows.items():
+        if "walnut" not in url and "basket" not in url:
+            assert (r["verdict"] == "block") == any(w in url for w in ("ads", "spam", "casino", "bets", "pills")), (url, r["log_odds"])
+    assert rows["http://blog.walnutbasket.example.com/en/3"]["words"].split()[:3] == ["blog", "walnut", "basket"]
+    assert len(hosturl.SEED_ROWS) <= 100
+    model = hosturl.Model({})
+    for word in " ".join(hosturl.STRONG).split():
+        assert model.score(f"{word}.example.com", "/en/1") > 0 and model.score(f"{word}-farm.example.com", "/") > 0, word
