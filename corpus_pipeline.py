@@ -1,7 +1,7 @@
 """Corpus pipeline: the stages a training corpus passes, each written as Parquet and read again.
 
 1. quality_rules: rejected documents go, failing lines of the others too.
-2. line_dedup: lines on over a tenth of a source's documents go.
+2. line_dedup: lines on over 6 % of a source's pages go.
 3. near_dedup: of documents whose five-word runs are similar by 0.8 or more one stays, the one with the smallest doc_id.
 4. decontaminate: documents that overlap a benchmark item go.
 5. segment: two distinct sampled SentencePiece segmentations of every document that is left.

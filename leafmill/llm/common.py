@@ -26,6 +26,31 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many `_` appended as keep it apart from those taken (Spark compares without case) and from one another."""
+    seen, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, total: int, parts: int = 1000) -> DataFrame:
+    """rows joined with found (one row for each key; weight is how many rows have it, total how many there are), without a hot task.
+
+    Keys of more than total / parts rows, which are fewer than `parts`, are broadcast; the rows of all others are shuffled.
+    Tables of under 100 rows a part are small enough to join plainly.
+    """
+    if total < 100 * parts:
+        return rows.join(found.drop(weight), key)
+    heavy = F.col(weight) * parts > total
+    hot = F.broadcast(found.where(heavy).drop(weight))
+    light = rows.join(F.broadcast(found.where(heavy).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(light.join(found.where(~heavy).drop(weight), key))
+
+
 def let(value: Column, body) -> Column:
     """Bind value once inside a higher-order expression (a lambda would evaluate it for every element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,15 +1,19 @@
-"""Near copies: documents whose sets of five-word runs have a Jaccard similarity of 0.8 or more.
+"""Near copies: the Gray-order index finds candidates, sets of five-word runs decide at a Jaccard similarity of 0.8.
 
-Candidates: MinHash values of the distinct shingles, in bands; texts that agree
-on a band are linked, and components of these links (alternating stars) are
-candidate groups, so each text is sent to one group.  A pair at 0.8 agrees on
-at least one of the 24 bands of 6 values with probability 0.9993, a closer pair
-with more.  (Fingerprints would need a radius that leaves no selective block:
-at 0.8 a tenth of 64 bits and more differ.)
+Candidates: 192-bit SimHash fingerprints of the distinct five-word shingles.
+Texts at a similarity of 0.8 differ in 29 bits on average (an angle of 27
+degrees), which leaves no block of bits that must agree, so codes are dealt to
+``tables`` of ``width`` bits each, drawn at random: wide enough that a bucket
+holds few texts by chance, and as many that a pair at 0.8 meets in one with
+MEETS probability.  Buckets are searched by the Gray-order index within
+RADIUS bits.  Buckets of copies by the thousand have all their texts linked
+without a look at the codes.  Components of the links are candidate groups.
 
-Verification: inside a candidate group the similarity is exact, and a link
+Verification: inside a candidate group similarities are exact, and a link
 counts only at 0.8 or more; links are transitive.  A breadth-first search
-compares a text with those not reached yet, all at once.
+compares texts with those not reached yet.  Groups of up to HOT shingles are
+searched in one task; larger ones in rounds over the cluster, each of which
+compares a block of texts of bounded size with all others of its group.
 
 Words are split at ASCII white space and compared in ASCII lower case; a text
 of fewer than five words is one shingle, and texts without words are copies of
@@ -19,6 +23,7 @@ compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, texts
-from .simhash import connected
+from .simhash import row_hash, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 6
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Shingles hashed at a time.
-BLOCK = 1024
+#: Words of a fingerprint, bits that may differ in all (three standard deviations more than expected), and probability that a pair shares a table.
+WORDS, RADIUS, MEETS = 3, 44, 0.98
+CODE = [f"c{w}" for w in range(WORDS)]
+#: Shingles of a candidate group that one task holds, and of the texts that one round sends to all executors; groups in a round.
+HOT, BLOCK, ROOTS = 2_000_000, 1_000_000, 100
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -55,14 +62,29 @@ def key_of(words: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 7)).astype(np.int64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One signed long for each band of MinHash values; none without shingles."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for k in range(0, len(hashes), BLOCK):
-        np.minimum(least, (hashes[k : k + BLOCK, None] * _FACTORS).min(0), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words: the bits set in over half of the hashes, and of the hashes mixed again."""
+    out = np.zeros(WORDS, np.uint64)
+    for w in range(WORDS):
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(hashes), 8192):
+            ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes = hashes ^ (hashes >> np.uint64(29))
+    return out
+
+
+def tables(n: int, least: float = SIMILARITY, meets: float = MEETS) -> list[list[int]]:
+    """Masks (a list of words each) for n texts: about 64 of them to a bucket by chance."""
+    width = max(0, math.ceil(math.log2(max(2, n))) - 6)
+    # the angle of two sets of equal size gives the share of bits that differ
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    agree = 1 - differ - math.sqrt(differ * (1 - differ) / (64 * WORDS))
+    count = max(16, math.ceil(math.log(1 - meets) / math.log1p(-(agree**width)))) if width else 1
+    rng = np.random.default_rng(42)
+    picks = [rng.permutation(64 * WORDS)[:width].tolist() for _ in range(count)]
+    return [[sum(1 << (b % 64) for b in bits if b // 64 == w) for w in range(WORDS)] for bits in picks]
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> list[int]:
@@ -93,64 +115,189 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> list[int]:
     return label
 
 
+def near(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets (sorted, not empty) have a similarity of `least` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared >= least * (len(a) + len(b) - shared) - 1e-9
+
+
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, key and bands of each row."""
+    """doc_id, hash, key, size (distinct shingles) and the words of the fingerprint of each row; rows without words have no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.lower().split() for t in texts(batch.column(1))]
+            words = [t.lower().split() for t in texts(batch.column(2))]
+            sets = [shingles(w) for w in words]
+            codes = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([key_of(w) for w in words], pa.int64()), pa.array([bands(shingles(w)) for w in words], pa.list_(pa.int64()))],
-                names=["doc_id", "key", "bands"],
+                [batch.column(0), batch.column(1), pa.array([key_of(w) for w in words], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(c) for c in codes.T]],
+                names=["doc_id", "hash", "key", "size", *CODE],
             )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, key long, bands array<long>")
+    own = docs.select(docs["doc_id"].cast("long"), row_hash(docs).alias("hash"), docs["text"].cast("string"))
+    return own.mapInArrow(run, "doc_id long, hash long, key long, size long, " + ", ".join(f"{c} long" for c in CODE))
 
 
-def verified(candidates: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """key and component_id (smallest doc_id) of candidates (root, key, doc_id, text), which are compared within their root."""
+def candidates(reps: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, crowded: int = simhash.CROWDED) -> DataFrame:
+    """Links (a, b) between keys of distinct texts with similar fingerprints; reps has key, size and the fingerprint."""
+    masks = tables(reps.count(), least)
+    hashed = F.array(*[F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(signed(m)) for c, m in zip(CODE, mask) if m]) for t, mask in enumerate(masks)])
+    dealt = reps.where("size > 0").select(F.col("key").alias("node"), *CODE, F.explode(hashed).alias("bucket"))
+    return simhash.bucket_links(dealt, CODE, radius, crowded)
 
-    def judge(rows: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        keys, docs, sets = list(rows), [d for d, _ in rows.values()], [s for _, s in rows.values()]
-        smallest: dict[int, int] = {}
+
+def verified(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """key and label (one key for each component) of members (root, key, set), compared within their root in one task."""
+
+    def judge(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         label = similar(sets, least)
-        for d, c in zip(docs, label):
-            smallest[c] = min(d, smallest.get(c, d))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([smallest[c] for c in label], pa.int64())], names=["key", "component_id"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[c] for c in label], pa.int64())], names=["key", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, {}
         for batch in batches:
-            for root, key, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), texts(batch.column(3))):
+            for k, (root, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if root != last and rows:
-                    yield judge(rows)
+                    yield judge(list(rows), list(rows.values()))
                     rows = {}
-                last, words = root, text.lower().split()
-                # another row of the same doc_id has other words
-                if key not in rows and key_of(words) == key:
-                    rows[key] = (doc, shingles(words))
+                last = root
+                rows[key] = set_of(batch.column(2), k)
         if rows:
-            yield judge(rows)
+            yield judge(list(rows), list(rows.values()))
+
+    return members.select("root", "key", "set").repartition("root").sortWithinPartitions("root").mapInArrow(run, "key long, label long")
+
 
-    return candidates.select("root", "key", "doc_id", "text").repartition("root").sortWithinPartitions("root").mapInArrow(run, "key long, component_id long")
+def set_of(column: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer(column[k].as_buffer(), np.uint64)
 
 
-def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """key, least (smallest doc_id with these words) and component_id (smallest doc_id of the group) of each distinct text."""
-    own = docs.where("doc_id is not null")
-    reps = materialize(prints(own).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "prints")
-    buckets = reps.select("key", F.posexplode("bands")).groupBy("pos", "col").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
-    edges = buckets.select(F.array_min("keys").alias("a"), F.explode("keys").alias("b")).where("a <> b").distinct()
-    found = materialize(connected(edges), "roots")
-    members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
-    named = members.join(reps, members["node"] == reps["key"]).select("key", "root", F.col("least").alias("_doc"))
-    rows = own.select(own["doc_id"].cast("long").alias("doc_id"), own["text"].cast("string").alias("text"))
-    checked = materialize(verified(rows.join(named, rows["doc_id"] == named["_doc"]), least), "near")
-    return reps.join(checked, "key", "left").select("key", "least", F.coalesce("component_id", "least").alias("component_id"))
+def settled(members: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """The same as ``verified`` for groups of any size, in rounds; members (root, key, size, set).
+
+    A row is unreached (label null), reached (it has a label but wasn't compared with the unreached) or done.  A round takes
+    for each root its reached rows, or if the unreached are fewer those, or else one unreached row as the seed of a component,
+    up to `block` shingles in all, and compares them with the other side.
+    """
+    spark = members.sparkSession
+    table = materialize(members.select("root", "key", "size", "set", F.lit(None).cast("long").alias("label")), "hot")
+    done: list[DataFrame] = []
+    while True:
+        free = F.col("label").isNull()
+        stats = table.groupBy("root").agg(
+            F.sum(F.when(free, F.col("size")).otherwise(0)).alias("free"), F.sum(F.when(free, 0).otherwise(F.col("size"))).alias("reached"),
+            F.min(F.when(free, F.struct("key", "size"))).alias("seed"),
+        ).orderBy("root").limit(ROOTS).collect()
+        if not stats:
+            break
+        chosen, room, sides, final, small = [], block, {}, [], []
+        for r in stats:
+            root = F.col("root") == r["root"]
+            if not r["free"]:
+                final.append(r["root"])
+            elif not r["reached"] and r["free"] <= hot:
+                small.append(r["root"])
+            elif room <= 0:
+                continue
+            elif not r["reached"]:
+                chosen.append(root & (F.col("key") == r["seed"]["key"]))
+                sides[r["root"]] = "seed"
+                room -= r["seed"]["size"]
+            elif r["free"] <= min(room, r["reached"]):
+                chosen.append(root & free)
+                sides[r["root"]] = "free"
+                room -= r["free"]
+            else:
+                cut = None
+                for row in table.where(root & ~free).select("key", "size").orderBy("key").toLocalIterator():
+                    if cut is not None and row["size"] > room:
+                        break
+                    cut, room = row["key"], room - row["size"]
+                chosen.append(root & ~free & (F.col("key") <= cut))
+                sides[r["root"]] = "reached"
+        if final:
+            done.append(materialize(table.where(F.col("root").isin(final)).select("key", "label"), "settled"))
+        if small:
+            done.append(materialize(verified(table.where(F.col("root").isin(small)), least), "settled"))
+        table = table.where(~F.col("root").isin(final + small)) if final or small else table
+        if not chosen:
+            table = materialize(table, "hot")
+            continue
+        which = chosen[0]
+        for c in chosen[1:]:
+            which |= c
+        held: dict[int, list] = {}
+        for row in table.where(which).select("root", "key", "label", "set").toLocalIterator():
+            held.setdefault(row["root"], []).append((row["key"], row["label"], np.frombuffer(bytes(row["set"]), np.uint64)))
+        sent = spark.sparkContext.broadcast((sides, held))
+
+        def compare(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            # (key, new label, done) of rows that change
+            sides, held = sent.value
+            for batch in batches:
+                out = []
+                for k, (root, key, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                    side = sides.get(root)
+                    if side is None or label is None and side == "free":
+                        continue
+                    if side == "free":
+                        # a reached row finds the unreached that it links, and is done
+                        own = set_of(batch.column(3), k)
+                        out += [(other, label, False) for other, _, s in held[root] if near(own, s, least)]
+                        out.append((key, label, True))
+                    elif any(key == other for other, _, _ in held[root]):
+                        out.append((key, key if label is None else label, True))
+                    elif label is None:
+                        own = set_of(batch.column(3), k)
+                        new = next((other if x is None else x for other, x, s in held[root] if near(own, s, least)), None)
+                        if new is not None:
+                            out.append((key, new, False))
+                columns = list(zip(*out)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], names=["key", "new", "done"])
+
+        found = table.select("root", "key", "label", "set").mapInArrow(compare, "key long, new long, done boolean")
+        found = materialize(found.groupBy("key").agg(F.min("new").alias("new"), F.max("done").alias("done")), "found")
+        done.append(materialize(found.where("done").select("key", F.col("new").alias("label")), "settled"))
+        table = materialize(
+            table.join(found, "key", "left").where("done is null or not done").select("root", "key", "size", "set", F.coalesce("label", "new").alias("label")), "hot"
+        )
+    out = members.select("key", F.col("key").alias("label")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def groups(docs: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: int = BLOCK, crowded: int = simhash.CROWDED) -> DataFrame:
+    """key, first (doc, hash and n of the row of these words that comes first) and label (a key that stands for its group) of each distinct text."""
+    own = materialize(prints(docs.where(docs["doc_id"].isNotNull())), "prints")
+    rows = own.groupBy("key", "size", *CODE, "doc_id", "hash").agg(F.count("*").alias("n"))
+    reps = materialize(rows.groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").alias("doc"), "hash", "n")).alias("first"), *[F.min(c).alias(c) for c in ("size", *CODE)]
+    ), "reps")
+    found = materialize(simhash.connected(candidates(reps, least, crowded=crowded)), "roots")
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    named = materialize(members.join(reps, members["node"] == reps["key"]).select("root", "key", "size", "first.doc", "first.hash"), "members")
+    weight = named.groupBy("root").agg(F.sum("size").alias("all")).where(F.col("all") > hot).select("root", F.lit(True).alias("hot"))
+    weight = materialize(weight, "weight")
+    text = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), row_hash(docs).alias("hash"), docs["text"].cast("string").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.lower().split()).tobytes() for t in texts(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["root", "key", "size", "set"])
+
+    # equal rows have the same key: one of them is enough
+    texts_of = text.join(named, ["doc", "hash"]).select("root", "key", "size", "text")
+    with_sets = texts_of.mapInArrow(sets, "root long, key long, size long, set binary")
+    label = materialize(verified(with_sets.join(weight, "root", "left_anti"), least), "near")
+    if not weight.isEmpty():
+        label = label.unionByName(settled(with_sets.join(weight, "root", "left_semi").dropDuplicates(["key"]), least, hot, block))
+    return reps.join(label, "key", "left").select("key", "first", F.coalesce("label", "key").alias("label"))
 
 
-def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: int = BLOCK, crowded: int = simhash.CROWDED) -> DataFrame:
     """One document of each group: the one with the smallest doc_id; same columns as the input."""
-    keep = groups(docs, least).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    keep = groups(docs, least, hot, block, crowded).groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    return simhash.keep_rows(docs, keep)

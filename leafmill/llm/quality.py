@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, text_of
+from .common import SPACE, WORD, fresh, let, text_of
 
 #: Phrases that mark a line as boilerplate (lower case, Java regex).
 BOILERPLATE = (
@@ -137,11 +137,12 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, their failing lines removed; same columns as the input."""
     text = text_of(docs)
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    step = docs.select("*", cleaned(text).alias("_clean"), words.alias("_words"))
+    new, own = fresh(docs.columns, "_clean", "_words")
+    step = docs.select("*", cleaned(text).alias(new), words.alias(own))
     step = step.where(
-        (F.size("_words") >= MIN_WORDS)
-        & (squeezed(F.col("_clean")) * 100 >= squeezed(F.col("text")) * MIN_KEPT_PERCENT)
-        & (repeat_words(F.col("_words")) * 100 <= F.size("_words") * MAX_REPEAT_PERCENT)
+        (F.size(own) >= MIN_WORDS)
+        & (squeezed(F.col(new)) * 100 >= squeezed(F.col("text")) * MIN_KEPT_PERCENT)
+        & (repeat_words(F.col(own)) * 100 <= F.size(own) * MAX_REPEAT_PERCENT)
     )
-    new = {"text": F.col("_clean")} | ({"n_chars": F.length("_clean").cast("long")} if "n_chars" in docs.columns else {})
-    return step.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rewritten = {"text": F.col(new)} | ({"n_chars": F.length(new).cast("long")} if "n_chars" in docs.columns else {})
+    return step.select(*[rewritten.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

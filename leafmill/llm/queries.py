@@ -40,7 +40,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents.source is the host: every document with its text without boilerplate lines."""
     out = linededup.drop_lines(table(spark, sf_dir, "documents"), "source")
-    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", "n_dropped")
 
 
 def op6_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,12 +43,10 @@ from .common import release, texts
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 42
 RANK_SHIFT = 10.0
-#: Lattice states that a worker remembers, from task to task, before it forgets them all.
-MEMORY = 2_000_000
-#: Characters of a batch that are sampled at a time.
-BLOCK = 1_000_000
-
-
+#: Bytes of lattices that a worker remembers, from task to task, before it forgets them all; new units learned at a time.
+MEMORY, LEARN = 80_000_000, 20_000
+#: Rows of a batch unpacked, and characters sampled, at a time.
+ROWS, BLOCK = 1000, 250_000
 
 def units(crossed: set[str]) -> re.Pattern:
     """Line breaks, and runs of spaces with what follows; ASCII punctuation after a letter or digit (but those crossed) starts anew."""
@@ -129,6 +127,11 @@ class Lattices:
         self.beta = np.zeros(1)
         self.hashes, self.state = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
+    def nbytes(self) -> int:
+        """About how much memory the tables take (a remembered unit is some 130 bytes of string and entry)."""
+        arrays = (self.edge, self.cum, self.logp, self.next, self.id, self.beta, self.hashes, self.state)
+        return sum(a.nbytes for a in arrays) + 130 * len(self.start)
+
     def learn(self, units: list[str]) -> None:
         """Add the suffixes of new units that no state stands for yet, all at once."""
         text = "".join(units)
@@ -217,8 +220,8 @@ class Lattices:
             missing = [i for i, s in enumerate(found) if s is None]
             new = list(dict.fromkeys([units[i] for i in missing]))
             # long texts bring their new units in parts, to bound the tables made at a time
-            for k in range(0, len(new), 100_000):
-                self.learn(new[k : k + 100_000])
+            for k in range(0, len(new), LEARN):
+                self.learn(new[k : k + LEARN])
             for i in missing:
                 found[i] = self.start[units[i]]
         return np.array(found, np.int64)
@@ -319,7 +322,7 @@ def sample(t: Lattices, docs: list[str], keys: np.ndarray, k: int) -> list[list[
     unit_no = (np.arange(len(flat)) - unit0[doc]).astype(np.uint64)
 
     def unit_keys(d, numbers, draw):
-        return mix(keys[d] ^ mix(numbers * np.uint64(4096) + np.uint64(8 * draw + 1)))
+        return mix(keys[d] ^ mix((numbers << np.uint64(32)) + np.uint64(8 * draw + 1)))
 
     edges, n = walk(t, state, unit_keys(doc, unit_no, 0))
     sizes = np.bincount(doc, weights=n, minlength=len(docs)).astype(np.int64) if len(doc) else np.zeros(len(docs), np.int64)
@@ -424,7 +427,7 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             tables = tables_of(model, alpha)
             ids, raw = whole.column(0).to_pylist(), texts(whole.column(1))
             at = 0
@@ -438,7 +441,7 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
         release()
 
     def block(t: Lattices, ids: list, raw: list[bytes]) -> pa.RecordBatch:
-        if len(t.edge) > MEMORY:
+        if t.nbytes() > MEMORY:
             t.clear()
         rows, ids_of = [], []
         for doc, text, paths in zip(ids, raw, sample(t, [x.decode() for x in raw], row_keys(ids, seed), k)):

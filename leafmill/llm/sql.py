@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from .linededup import MAX_RATIO, MIN_PAGES
-from .quality import BOILERPLATE, LONG_LINE, MAX_SYMBOL_PERCENT, MIN_KEPT_PERCENT, MIN_NAV, MIN_WORDS, NAV_PERCENT
-
 _WS = r"[\x20\x09-\x0D]"
 _SPACE = rf"{_WS}+"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -31,10 +28,10 @@ WITH d AS (
   FROM (SELECT rid, unnest(l) AS x FROM w)
 ), kept_chars AS (
   SELECT rid, sum(bare) AS kept FROM judged
-  WHERE NOT (sym * 100 > bare * {MAX_SYMBOL_PERCENT}
-    OR (len(list_filter(tok, lambda k: regexp_matches(k, '^[|>/»›•·]+$'))) >= {MIN_NAV}
-        AND len(list_filter(tok, lambda k: regexp_matches(k, '^[|>/»›•·]+$'))) * 100 >= len(tok) * {NAV_PERCENT})
-    OR (len(tok) >= {LONG_LINE} AND NOT ends) OR boiler)
+  WHERE NOT (sym * 100 > bare * 10
+    OR (len(list_filter(tok, lambda k: regexp_matches(k, '^[|>/»›•·]+$'))) >= 3
+        AND len(list_filter(tok, lambda k: regexp_matches(k, '^[|>/»›•·]+$'))) * 100 >= len(tok) * 25)
+    OR (len(tok) >= 12 AND NOT ends) OR boiler)
   GROUP BY rid
 ), base AS (
   SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words,
@@ -45,9 +42,9 @@ WITH d AS (
   FROM w LEFT JOIN covered USING (rid) LEFT JOIN kept_chars USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       (NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words)
-        AND kept * 100 >= word_chars * {MIN_KEPT_PERCENT}) AS kept
+       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+        AND kept * 100 >= word_chars * 50) AS kept
 FROM base
 """
 
@@ -55,19 +52,18 @@ OP5 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
 ), lines AS (
-  SELECT rid, host, x, i, regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g') AS bare
-  FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)
+  SELECT rid, host, t, x, i, regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g') AS bare
+  FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)
 ), totals AS (
-  SELECT host, count(*) AS pages FROM d GROUP BY host HAVING count(*) >= {MIN_PAGES}
+  SELECT host, count(DISTINCT t) AS pages FROM d GROUP BY host
 ), boiler AS (
   SELECT l.host, bare FROM lines l JOIN totals USING (host) WHERE bare <> ''
-  GROUP BY l.host, bare, pages HAVING count(DISTINCT rid) > 1 AND count(DISTINCT rid) > pages * {MAX_RATIO}
+  GROUP BY l.host, bare, pages HAVING count(DISTINCT t) > 1 AND count(DISTINCT t) > pages * 0.06
 ), marked AS (
   SELECT l.*, b.bare IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.host = b.host AND l.bare = b.bare
 )
-SELECT doc_id, CASE WHEN length(k) * 2 >= length(t) THEN k ELSE t END AS text, n_lines, CASE WHEN length(k) * 2 >= length(t) THEN n_gone ELSE 0 END AS n_dropped
-FROM (SELECT doc_id, t, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS k, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_gone
-      FROM marked JOIN d USING (rid) GROUP BY rid, doc_id, t)
+SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped
+FROM marked JOIN d USING (rid) GROUP BY rid, doc_id
 """
 
 ORACLE = {

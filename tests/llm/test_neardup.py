@@ -47,10 +47,38 @@ def test_stage_keeps_one_of_each_group_at_similarity_08(spark, docs):
     assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
-def test_bands_find_pairs_at_the_threshold():
+def test_tables_and_radius_find_pairs_at_the_threshold():
     rng = np.random.default_rng(2)
     met = 0
+    masks = np.array(neardup.tables(200_000), np.uint64)
     for _ in range(1000):
         h = rng.integers(0, 1 << 63, 180, np.uint64)
-        met += bool((neardup.bands(h[:162]) == neardup.bands(h[18:])).any())
-    assert met >= 990  # similarity 144 / 180 = 0.8
+        x = neardup.fingerprint(h[:162]) ^ neardup.fingerprint(h[18:])
+        met += bool(((x & masks) == 0).all(1).any() and np.bitwise_count(x).sum() <= neardup.RADIUS)
+    assert met >= 930  # similarity 144 / 180 = 0.8
+
+
+def test_large_groups_in_rounds(docs):
+    """The rounds over the cluster give the groups that one task gives, also where blocks hold a few texts only."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for d in range(40):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            own[rng.randrange(60)] = rng.choice(words)
+        rows.append((d, " ".join(own)))
+    label = brute_groups(rows)
+    assert 3 < len(set(label.values())) < 35
+    own = docs([*rows, rows[0]])
+    for options in ({"hot": 400, "block": 300}, {"crowded": 2}):
+        kept = neardup.dedup(own, **options)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values())), options
+
+
+def test_rows_of_one_id(docs, untouched):
+    a, b = "one two three four five six seven", "other words that are not alike at all here"
+    kept = neardup.dedup(docs([(3, a), (5, a), (5, b), (5, b)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (5, b)]
+    untouched(kept)

@@ -1,10 +1,10 @@
 import random
 
 import corpus_pipeline
-from leafmill.llm import decontam, linededup, simhash, spiece
+from leafmill.llm import linededup, spiece
 from tests.llm.test_decontam import brute as overlaps
 from tests.llm.test_quality import brute as counts
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_neardup import brute_groups
 
 
 def line_ok(line):
@@ -48,20 +48,18 @@ def test_stages_match_brute_force(spark, tmp_path):
         clean = "\n".join(x for x in text.split("\n") if line_ok(x))
         if n >= 20 and 100 * repeats <= 30 * n and 100 * len("".join(clean.split())) >= 50 * chars:
             kept[d] = (clean, source)
-    pages = {s: [d for d in kept if kept[d][1] == s] for s in ("s0", "s1")}
+    pages = {s: {kept[d][0] for d in kept if kept[d][1] == s} for s in ("s0", "s1")}
     share = {}
     for s, own in pages.items():
-        for d in own:
-            for x in {x.strip() for x in kept[d][0].split("\n") if x.strip()}:
+        for t in own:
+            for x in {x.strip() for x in t.split("\n") if x.strip()}:
                 share[s, x] = share.get((s, x), 0) + 1
-    drop = {k for k, n in share.items() if n > 1 and len(pages[k[0]]) >= linededup.MIN_PAGES and n > linededup.MAX_RATIO * len(pages[k[0]])}
+    drop = {k for k, n in share.items() if n > 1 and n > linededup.MAX_RATIO * len(pages[k[0]])}
     assert drop
-    less = {d: "\n".join(x for x in t.split("\n") if (s, x.strip()) not in drop) for d, (t, s) in kept.items()}
-    kept = {d: less[d] if len(less[d]) * 2 >= len(t) else t for d, (t, s) in kept.items()}
-    ids = sorted(kept)
-    label = dict(brute_components(ids, [brute_fingerprint(kept[d]) for d in ids]))
-    kept = {d: kept[d] for d in ids if label[d] == d}
-    assert len(kept) < len(ids)
+    kept = {d: "\n".join(x for x in t.split("\n") if (s, x.strip()) not in drop) for d, (t, s) in kept.items()}
+    label = brute_groups(sorted(kept.items()))
+    assert len(set(label.values())) < len(kept)
+    kept = {d: t for d, t in kept.items() if label[d] == d}
     left = {d: t for d, t in kept.items() if not any(overlaps(t, x) for _, x in bench)}
     assert 0 < len(left) < len(kept)
 

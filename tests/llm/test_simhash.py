@@ -102,6 +102,50 @@ def test_star_rounds_on_a_chain(spark):
     assert got == {(i, 0) for i in range(1, 61)} | {(101, 100)}
 
 
+def test_a_unique_text_of_a_repeated_id_stays(docs, untouched):
+    a, b = "one two three four five six seven", "other words that are not alike at all here"
+    kept = simhash.dedup(docs([(3, a), (5, a), (5, b), (5, b)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (5, b)]
+    untouched(kept)
+
+
+def test_ranks_of_wide_codes():
+    rng = random.Random(2)
+    codes = [rng.getrandbits(128) for _ in range(500)]
+
+    def rank(x):
+        for s in (1, 2, 4, 8, 16, 32, 64):
+            x ^= x >> s
+        return x
+
+    got = simhash.gray_rank(np.array([[c >> 64, c & (1 << 64) - 1] for c in codes], np.uint64))
+    assert [(int(a) << 64) | int(b) for a, b in got] == [rank(c) for c in codes]
+
+
+def test_forest_of_a_dense_bucket(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 63, (600, 2), np.uint64)
+    codes[100:500] = codes[100] ^ (np.uint64(1) << rng.integers(0, 60, (400, 2)).astype(np.uint64))
+    bucket = np.repeat([4, 9], 300)
+    label = {k: k for k in range(600)}
+    for i in range(600):
+        for j in range(i):
+            if bucket[i] == bucket[j] and label[i] != label[j] and np.bitwise_count(codes[i] ^ codes[j]).sum() <= 3:
+                x, y = sorted((label[i], label[j]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    for reach in (simhash.REACH, 50):
+        monkeypatch.setattr(simhash, "REACH", reach)
+        a, b = simhash.forest(codes, bucket, 3)
+        root = {k: k for k in range(600)} | dict(zip(a.tolist(), b.tolist()))
+        groups = {}
+        for k in range(600):
+            groups.setdefault(root[k], set()).add(k)
+        want = {}
+        for k, v in label.items():
+            want.setdefault(v, set()).add(k)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_empty_table(docs):
     none = docs([(1, "a")]).where("false")
     assert simhash.components(none).count() == 0 and simhash.dedup(none).count() == 0
