@@ -1,3 +1,4 @@
+import io
 import math
 import random
 import zlib
@@ -66,12 +67,13 @@ def brute(rows, depth):
     return result
 
 
-@pytest.mark.parametrize("shards", [(10**6, 10**6), (60, 20)])
-def test_scores_match_brute_force(docs, shards):
+@pytest.mark.parametrize("block, hot", [(10**6, 0), (60, 20), (10**6, 10**6)])
+def test_scores_match_brute_force(docs, monkeypatch, block, hot):
+    monkeypatch.setattr(ctw, "HOT", hot)  # no context, some, all are dealt by a third byte
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["the", "Cat", "cät", "runs", "of", "x"]) for _ in range(rng.randrange(12))) + "\n" * (i % 2)) for i in range(40)]
     rows += [(100, None), (101, ""), (102, " \t"), (7, rows[7][1]), (None, "the cat")]
-    got = ctw.score(docs(rows), 3, *shards).collect()
+    got = ctw.score(docs(rows), 3, block).collect()
     want = brute(rows, 3)
     key = lambda r: (r[0] is None, r[0] or 0, r[6])
     got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
@@ -94,7 +96,10 @@ def test_table():
 
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**60, 5000, dtype=np.uint64))
-    t = ctw.Table(keys, np.arange(1, len(keys) + 1, dtype=np.float32))
+    out = io.BytesIO()
+    ctw.Table(keys, np.arange(1, len(keys) + 1, dtype=np.float32)).write(out)
+    t, rest = ctw.Table.read(np.frombuffer(out.getvalue() + bytes(8), np.uint64))
+    assert len(rest) == 1
     assert (t.get(keys) == np.arange(1, len(keys) + 1)).all()
     assert not t.get(np.setdiff1d(rng.integers(0, 2**60, 5000, dtype=np.uint64), keys)).any()
     assert not ctw.Table(keys[:0], np.zeros(0, np.float32)).get(keys).any()
