@@ -7,18 +7,21 @@ A shard is two files, written by one task each:
 * ``<name>.idx``: int64 count n, n doc_ids, n null marks (0 or 1), and
   n + 1 offsets into the ids, so document i is ids[offsets[i]:offsets[i + 1]].
 
-Shards are ranges of doc_id in ascending order (nulls first, equal ids by
-text), and a shard's base is the prefix sum of the id counts before it.  Names
+Shards are ranges of doc_id in ascending order (nulls first; rows of one id,
+or of none, by the hash of their text, then the text, so many of them are
+several shards), and a shard's base is the prefix sum of the id counts before
+it.  There are as many shards as shuffle partitions, more if a shard would
+hold over SHARD_BYTES of text.  Names
 are unique for each task attempt, and only those in the manifest count, so
 lost executors and repeated tasks leave no half-written shard in the result.
 
-Null texts are empty documents (the end id alone).  Extra columns are ignored.
+Null texts are empty documents (the end id alone).  doc_id must be a number.
+Extra columns are ignored.
 An empty table gives an empty manifest.
 """
 
 from __future__ import annotations
 
-import io
 import re
 import unicodedata
 import uuid
@@ -41,8 +44,8 @@ MEMORY = 600_000
 #: A word that ends in a letter or digit, and the ASCII punctuation after it (never an apostrophe, which may join the letters).
 #: U+00D7 and U+00F7 are no letters, and U+0130 ends in a combining mark once it is in lower case.
 _TAIL = re.compile(rb"(.*(?:[a-zA-Z0-9]|(?!\xc3[\x97\xb7]|\xc4\xb0)[\xc3-\xc9][\x80-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.S)
-#: Bytes of text encoded at a time.
-BLOCK = 1_000_000
+#: Bytes of text encoded at a time, and of a shard.
+BLOCK, SHARD_BYTES = 1_000_000, 128_000_000
 
 
 class WordEncoder:
@@ -123,15 +126,18 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shards: int |
     tokenizer: path of a tokenizers JSON file that every executor can read.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if not shards:
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // SHARD_BYTES))
+    own = own.withColumn("hash", F.xxhash64("text"))
+    ordered = own.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, fs, name = None, None, None
-        doc_ids, lengths, total = [], [], 0
+        doc_ids, nulls, lengths = [], [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -142,28 +148,26 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, shards: int |
                 name = f"{root}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 out = fs.open_output_stream(f"{name}.bin")
             raw, at = texts(batch.column(1)), 0
-            doc_ids += batch.column(0).to_pylist()
+            doc_ids.append(batch.column(0).fill_null(0).to_numpy())
+            nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             while at < len(raw):
                 stop, load = at, 0
                 while stop < len(raw) and (stop == at or load + len(raw[stop]) <= BLOCK):
                     load, stop = load + len(raw[stop]), stop + 1
-                for ids in encoder.encode(raw[at:stop]):
+                found = encoder.encode(raw[at:stop])
+                for ids in found:
                     out.write(ids)
                     out.write(end)
-                    lengths.append(len(ids) // encoder.dtype.itemsize + 1)
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)) // encoder.dtype.itemsize + 1)
                 at = stop
         if encoder is not None:
             out.close()
-            offsets = np.concatenate(([0], np.cumsum(np.array(lengths, np.int64)))).astype("<i8")
-            buffer = io.BytesIO()
-            buffer.write(np.array([len(doc_ids)], "<i8").tobytes())
-            buffer.write(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
-            buffer.write(np.array([d is None for d in doc_ids], "<i8").tobytes())
-            buffer.write(offsets.tobytes())
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype("<i8")
+            n = len(offsets) - 1
             with fs.open_output_stream(f"{name}.idx") as f:
-                f.write(buffer.getvalue())
-            total = int(offsets[-1])
-            yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": name, "n_docs": len(doc_ids), "n_ids": total, "width": encoder.dtype.itemsize}])
+                for part in ([n], np.concatenate(doc_ids), np.concatenate(nulls), offsets):
+                    f.write(np.asarray(part).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": name, "n_docs": n, "n_ids": int(offsets[-1]), "width": encoder.dtype.itemsize}])
 
     fs, root = files(path)
     fs.create_dir(root, recursive=True)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -37,3 +38,17 @@ def test_every_two_byte_letter_before_punctuation():
     words = [f"{head}{chr(c)}{tail}" for c in range(0xC0, 0x280) for head in ("", "10", "ab") for tail in (".", ",", ")", "(", "...", '".', "-")]
     got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([w.encode() for w in words])]
     assert [w for w, ids in zip(words, got) if ids != encoder.ids(w)] == []
+
+
+def test_random_texts_of_all_scripts():
+    rng, encoder = random.Random(9), tokenbin.WordEncoder(MODEL)
+    signs = "abcXYZ019 .,;:!?\"'()[]{}<>|*&-_/\\@#$%^~`\n\t\r\x0b\x85\u00a0\u2003İıſßẞΣσςАяёжЖאבعلى中文日本カ゛ㄱ가힣\u0301\u0307\u200b\u200dﬁ\ufeff😀👍🏽ǅǈͅᾳᾼK" + "".join(map(chr, range(0xA1, 0x250)))
+    texts = ["".join(rng.choice(signs) if rng.random() < 0.7 else rng.choice("abcde .,'") for _ in range(rng.choice([1, 2, 3, 5, 20]))) for _ in range(20_000)]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert [t for t, ids in zip(texts, got) if ids != encoder.ids(t)] == []
+
+
+def test_many_rows_without_an_id_are_several_shards(docs, tmp_path):
+    rows = [(None, f"text {i}") for i in range(200)] + [(5, "a b")]
+    manifest = tokenbin.write(docs(rows), MODEL, 2, f"file://{tmp_path}/n", shards=4).collect()
+    assert len(manifest) >= 3 and sum(r["n_docs"] for r in manifest) == 201
