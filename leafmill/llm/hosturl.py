@@ -26,6 +26,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: (rule, verdict); host, then a path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -168,12 +170,12 @@ class Model:
 
 
 def judge(pages: DataFrame, rules=RULES, rows=SEED_ROWS, prior_block: float = PRIOR_BLOCK) -> DataFrame:
-    """pages with host, path, rule, log_odds, words and verdict; columns of these names are replaced."""
-    added = ("host", "path", "rule", "verdict", "log_odds", "words")
+    """pages with host, path, rule, log_odds, words and verdict; input columns of these six names are replaced, all others kept."""
+    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "log_odds", "words")]
+    at, road, fit, said, found = fresh(pages.columns, "_host", "_path", "_rule", "_said", "_found")
     host, path = parts(pages["url"])
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = pages.drop(*added).withColumns({"host": host, "path": path}) if "url" not in added else pages
-    base = base.withColumns({"rule": rule, "_rule_verdict": verdict})
+    rule, verdict = rule_of(F.col(at), F.col(road), rules)
+    base = pages.withColumns({at: host, road: path}).withColumns({fit: rule, said: verdict})
     model = pages.sparkSession.sparkContext.broadcast(Model(counts(pages), rows, prior_block=prior_block))
 
     @F.pandas_udf("log_odds double, words string")
@@ -184,8 +186,8 @@ def judge(pages: DataFrame, rules=RULES, rows=SEED_ROWS, prior_block: float = PR
         words = [m.tokens(h, p) for h, p in zip(hosts, paths)]
         return pd.DataFrame({"log_odds": [m.bias + sum(m.weight.get(w, 0.0) for w in x) for x in words], "words": [" ".join(x) for x in words]})
 
-    out = base.withColumn("_scored", scored("host", "path"))
-    return out.withColumns({
-        "log_odds": F.col("_scored.log_odds"), "words": F.col("_scored.words"),
-        "verdict": F.coalesce("_rule_verdict", F.when(F.col("_scored.log_odds") > 0, "block").otherwise("allow")),
-    }).drop("_scored", "_rule_verdict")
+    odds = F.col(f"{found}.log_odds")
+    return base.withColumn(found, scored(at, road)).select(
+        *[F.col(f"`{c}`") for c in names], F.col(at).alias("host"), F.col(road).alias("path"), F.col(fit).alias("rule"), odds.alias("log_odds"), F.col(f"{found}.words").alias("words"),
+        F.coalesce(F.col(said), F.when(odds > 0, "block").otherwise("allow")).alias("verdict"),
+    )

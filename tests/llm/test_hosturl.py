@@ -37,6 +37,13 @@ def test_rules_match_brute_force(spark):
     assert hosturl.judge(pages.where("false")).count() == 0
 
 
+def test_other_columns_keep_their_values(spark):
+    names = ["_host", "_path", "_rule", "_said", "_found", "_scored", "_rule_verdict", "token", "site"]
+    pages = spark.createDataFrame([(1, "http://a.example.net/en/1", *names)], ["page_id", "url", *names])
+    row = hosturl.judge(pages).first()
+    assert [row[n] for n in names] == names and row["rule"] == "example.net/en/" and row["verdict"] == "allow"
+
+
 def test_segmentation():
     m = hosturl.Model({})
     assert m.segment("cheappills") == ("cheap", "pills")
