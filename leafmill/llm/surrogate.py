@@ -2,24 +2,28 @@
 
 Detection: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (mod
 97), IPv4 addresses, social-security numbers, assigned secrets, and names of
-persons (after a title, or led by a known given name).
+persons: after a title or led by a known given name, and names of any kind by
+their shape (two or three capitalized words) and context (after a label such
+as "Author:" or a salutation, before or after a verb that persons go with,
+and beside another name).  A surname found once is found wherever it stands
+alone in the same text.
 
 Surrogates depend on (key, kind, normal form, attempt) alone, so a mention
 gets the same surrogate in every document (coreference).  Numbers, addresses
 and secrets go through a keyed permutation of the strings of their format
 (Feistel network with cycle walking): lengths, character classes, separators,
-country codes, check digits and address ranges stay, and distinct entities
-stay distinct.  Given names map to names of the same gender and script;
-surnames are spelled from syllables of their script with its gender endings.
+country codes, check digits, address ranges and capitals stay, and distinct
+entities stay distinct.  Given names map to names of the same gender and
+script (those of unknown gender are spelled); surnames are spelled from syllables of their script with its gender endings.
 Parts of a name are replaced one by one, so "Mr Berg" still fits "Jan Berg".
 
 Collision checks run over the distinct entities of the whole corpus: an entity
 whose surrogate equals its own original, another entity's surrogate, or (for
-names) any original takes its next attempt until none is left; only those
-exceptions are joined back to the documents.
+names) any original takes its next attempt until none is left (an error after
+MAX_ATTEMPTS); only those exceptions are joined back to the documents, by text.
 
 Null and empty texts pass unchanged; an empty table gives an empty one.
-Repeated rows are rewritten alike, and extra columns pass through.
+Repeated rows are rewritten alike, and extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 KEY = "leafmill"
-MAX_ATTEMPTS = 50
+MAX_ATTEMPTS = 1000
 
 #: Titles by gender (None: it tells nothing).
 TITLES = {
@@ -68,6 +72,21 @@ _PERSON = re.compile(
     rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})\.? (?:(?P<own>{'|'.join(sorted(_GENDER))})(?!\w) ?)?(?P<rest>{_NAME}(?: {_NAME})?)?"
     rf"|(?P<given>{'|'.join(sorted(_GENDER))}) (?P<surname>{_NAME}(?: {_NAME})?))"
 )
+_FULL = rf"{_NAME} {_NAME}(?: {_NAME})?"
+#: Labels and salutations before a name, verbs after one, verbs before one.
+_LABELS = "Name Author Contact Signed Customer Patient Employee Manager Sender Recipient Autor Kontakt Kunde Patientin Nom Auteur Client Nombre Cliente Имя Автор Клиент".split()
+_SALUTES = "Dear Hello Hi Liebe Lieber Cher Chère Querido Querida Estimado Estimada Дорогой Дорогая".split()
+_DOES = (
+    "met said wrote told asked called lives lived works worked signed married emailed phoned joined replied visited thanked invited schrieb sagte traf wohnt arbeitet antwortete "
+    "écrit habite travaille répondit dijo escribió vive trabaja respondió сказал сказала написал написала живёт работает"
+).split()
+_TAKES = "met told asked called married emailed phoned visited thanked invited traf fragte rencontra llamó".split()
+_SHAPE = re.compile(
+    rf"(?<!\w)(?:(?:(?:{'|'.join(_LABELS)}):|(?:{'|'.join(_SALUTES)}))[ \t]+(?P<labelled>{_FULL})(?!\w)"
+    rf"|(?P<subject>{_FULL}) (?:{'|'.join(_DOES)})(?!\w)|(?:{'|'.join(_TAKES)}) (?P<object>{_FULL})(?!\w))"
+)
+_BESIDE = re.compile(rf"(?:,|,? (?:and|und|et|y|и)) ({_FULL})(?!\w)")
+_HINTS = {*_LABELS, *_SALUTES, *_DOES, *_TAKES}
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _SECRET = re.compile(r"(?i)\b(?:token|api[_-]?key|secret|passw(?:or)?d|auth)\b[\"']?\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9_\-]{16,})")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -99,6 +118,27 @@ def mod97(iban: str) -> int:
 # -------------------------------------------------------------------- detection
 
 
+def script_of(name: str) -> str:
+    return "cyrillic" if re.search("[А-Яа-яЁё]", name) else "latin"
+
+
+def given_kind(name: str) -> str:
+    """given:script:gender; gender n where it isn't known."""
+    script, gender = _GENDER.get(name, (script_of(name), "n"))
+    return f"given:{script}:{gender}"
+
+
+def parts_of(at: int, name: str, led: bool) -> list[tuple[int, int, str, str]]:
+    """Spans of the words of a name; led: the first is a given name (or a title, which stays)."""
+    out = []
+    for k, part in enumerate(name.split(" ")):
+        first = led and not k
+        if not (first and part in _TITLE):
+            out.append((at, at + len(part), given_kind(part) if first else f"surname:{script_of(part)}", part))
+        at += len(part) + 1
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, normal form) in order, none overlapping; the earlier kind in this list wins."""
     found: list[tuple[int, int, str, str]] = []
@@ -128,17 +168,30 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), at, kind, ("+" if found_[0] == "+" else "") + plain))
             elif kind == "ssn" or kind == "card" and luhn(plain[:-1]) == int(plain[-1]):
                 found.append((m.start(), at, kind, plain))
-    if not _LEADS.isdisjoint(_WORD.findall(text)):
+    words = set(_WORD.findall(text))
+    people: list[tuple[int, int, str, str]] = []
+    if not _LEADS.isdisjoint(words):
         for m in _PERSON.finditer(text):
             given, rest = ("own", "rest") if m["title"] else ("given", "surname")
-            script, gender = _GENDER.get(m[given], ("cyrillic" if re.search("[А-Яа-яЁё]", m[0]) else "latin", _TITLE.get(m["title"])))
             if m[given]:
-                found.append((m.start(given), m.end(given), f"given:{script}:{gender}", m[given]))
+                people.append((m.start(given), m.end(given), given_kind(m[given]), m[given]))
             if m[rest]:
-                at = m.start(rest)
-                for part in m[rest].split(" "):
-                    found.append((at, at + len(part), f"surname:{script}", part))
-                    at += len(part) + 1
+                people += parts_of(m.start(rest), m[rest], False)
+    if not _HINTS.isdisjoint(words):
+        at = 0
+        while m := _SHAPE.search(text, at):
+            name = m["labelled"] or m["subject"] or m["object"]
+            start = m.start(m.lastgroup)
+            people += parts_of(start, name, True)
+            at = start + len(name)
+            while beside := _BESIDE.match(text, at):
+                people += parts_of(beside.start(1), beside[1], True)
+                at = beside.end()
+    if people:
+        found += people
+        alone = sorted({n for _, _, kind, n in people if kind.startswith("surname") and len(n) > 3} & words)
+        if alone:
+            found += [(m.start(), m.end(), f"surname:{script_of(m[0])}", m[0]) for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, alone))})(?!\w)", text)]
     out, end = [], 0
     for span in sorted(found, key=lambda s: (s[0], -s[1])):
         if span[0] >= end:
@@ -233,7 +286,7 @@ def surrogate(kind: str, norm: str, key: str = KEY, attempt: int = 0) -> str:
         return norm[:keep] + reformat(norm[keep:], key, f"{tweak}|{norm[:keep]}")
     if kind == "ssn":
         return reformat(norm, key, tweak)
-    if kind.startswith("given:"):
+    if kind.startswith("given:") and not kind.endswith(":n"):
         _, script, gender = kind.split(":")
         names = GIVEN[(script, gender)]
         # a rotation of a keyed order: no name maps to itself, and no two to one
@@ -248,6 +301,8 @@ def written(kind: str, found: str, new: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         plain = iter(new.lstrip("+") if kind == "phone" else new)
         return "".join(next(plain) if c.isalnum() else c for c in found)
+    if kind == "email":
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(found, new))
     return new
 
 
@@ -273,20 +328,24 @@ def rewrite(text: str, key: str = KEY, attempts: dict[tuple[str, str], int] | No
 # ----------------------------------------------------------------------- corpus
 
 
+def text_key(docs: DataFrame):
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, kind, norm) of each batch's documents."""
+    """Distinct (hash of the text, kind, norm) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (doc, kind, norm)
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                (key, kind, norm)
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 for kind, norm in dict.fromkeys((k, n) for _, _, k, n in detect(text or ""))
             ]
             columns = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "kind", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["key", "kind", "norm"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, kind string, norm string")
+    return docs.select(text_key(docs).alias("key"), docs["text"].cast("string")).mapInArrow(run, "key long, kind string, norm string")
 
 
 def exceptions(mentions: DataFrame, key: str = KEY) -> DataFrame:
@@ -298,34 +357,35 @@ def exceptions(mentions: DataFrame, key: str = KEY) -> DataFrame:
 
         return pd.Series([surrogate(k, n, key, int(a)) for k, n, a in zip(kind, norm, attempt)], dtype=object)
 
+    spelled_out = F.col("kind").startswith("surname") | F.col("kind").endswith(":n")
     plain = materialize(mentions.select("kind", "norm").distinct(), "entities")
     table = plain.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ATTEMPTS):
         table = materialize(table.select("kind", "norm", "attempt", proposed("kind", "norm", "attempt").alias("new")), "surrogates")
         # of the entities that share a surrogate, the settled one (or else the first) keeps it
         shared = table.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("keeps")).where("n > 1")
-        taken = table.where(F.col("kind").startswith("surname")).select("kind", "new").join(
-            plain.where(F.col("kind").startswith("surname")).select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_semi"
-        ).distinct().withColumn("taken", F.lit(True))
-        judged = table.join(shared.select("kind", "new", F.col("keeps.norm").alias("keeps")), ["kind", "new"], "left").join(taken, ["kind", "new"], "left")
+        taken = table.where(spelled_out).select("kind", "new").join(plain.where(spelled_out).select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_semi").distinct()
+        judged = table.join(shared.select("kind", "new", F.col("keeps.norm").alias("keeps")), ["kind", "new"], "left")
+        judged = judged.join(taken.withColumn("taken", F.lit(True)), ["kind", "new"], "left")
         clash = (F.col("new") == F.col("norm")) | F.coalesce(F.col("keeps") != F.col("norm"), F.lit(False)) | F.coalesce("taken", F.lit(False))
         judged = materialize(judged.select("kind", "norm", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")), "judged")
         if judged.where("clash").isEmpty():
-            break
+            return judged.where("attempt > 0").select("kind", "norm", "attempt")
         table = judged.drop("clash")
-    return judged.where("attempt > 0").select("kind", "norm", "attempt")
+    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text rewritten, and _kinds: the kind of every mention in order."""
+def pseudonymize(docs: DataFrame, key: str = KEY, kinds: str = "_kinds") -> DataFrame:
+    """docs with text rewritten, and the kind of every mention in order (a column `kinds` is replaced)."""
     mentions = materialize(entities(docs), "mentions")
     odd = exceptions(mentions, key)
-    own = docs
+    mark, list_, new = fresh([*docs.columns, kinds], "_hash", "_odd", "_new")
+    own = docs.withColumn(mark, text_key(docs))
     if odd.isEmpty():
-        own = own.withColumn("_odd", F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
+        own = own.withColumn(list_, F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
     else:
-        by_doc = mentions.join(odd, ["kind", "norm"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("_odd"))
-        own = own.join(by_doc.withColumnRenamed("doc_id", "_doc"), docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+        by_text = mentions.join(odd, ["kind", "norm"]).groupBy("key").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias(list_))
+        own = own.join(by_text.withColumnRenamed("key", mark), mark, "left")
 
     @F.pandas_udf("text string, kinds array<string>")
     def replaced(text, odd):
@@ -338,5 +398,5 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
         ]
         return pd.DataFrame({"text": [t for t, _ in out], "kinds": [[k for k, _ in e] for _, e in out]})
 
-    done = own.withColumn("_new", replaced(F.col("text").cast("string"), "_odd"))
-    return done.select(*[F.col("_new.text").alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col("_new.kinds").alias("_kinds"))
+    done = own.withColumn(new, replaced(F.col("text").cast("string"), F.col(list_)))
+    return done.select(*[(F.col(f"{new}.text") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c.lower() != kinds.lower()], F.col(f"{new}.kinds").alias(kinds))

@@ -1,6 +1,8 @@
+import random
 import re
 
 from leafmill.llm import surrogate as s
+from tests.llm.conftest import CLASHES
 
 TEXT = (
     "Write to Anna.Berg+x@mail3.example.com or anna.berg+x@MAIL3.example.com, call +1 (689) 555-4072. Card 4111 1111 1111 1111, again 4111111111111111. "
@@ -18,7 +20,9 @@ def test_every_mention_changes_and_keeps_its_format():
     again = [(k.split(":")[0]) for k, _ in s.rewrite(new)[1]]
     assert [k for k in again if k not in ("given", "surname")] == [k for k in kinds if k not in ("given", "surname")]
     mails = re.findall(r"[\w.+]+@[\w.]+", new)
-    assert mails[0] == mails[1].strip(".") and mails[0].endswith(".example.com")
+    assert mails[0].lower() == mails[1].lower().strip(".") and mails[0].endswith(".example.com")
+    # capitals stay where they were
+    assert [c.isupper() for c in mails[0]] == [c.isupper() for c in "Anna.Berg+x@mail3.example.com"] and mails[1].split("@")[1].startswith(mails[0].split("@")[1].split(".")[0].upper())
     cards = re.findall(r"Card ([\d ]+), again (\d+)", new)[0]
     assert cards[0].replace(" ", "") == cards[1] and s.luhn(cards[1][:-1]) == int(cards[1][-1]) and cards[0].count(" ") == 3
     iban = re.search(r"IBAN (DE[\d ]+)\.", new)[1].replace(" ", "")
@@ -46,12 +50,13 @@ def test_clean_text_stays():
         assert s.rewrite(text) == (text, [])
 
 
-def test_corpus_is_consistent_and_distinct(docs):
+def test_corpus_is_consistent_and_distinct(docs, untouched):
     rows = [(i, f"Mr Berg{chr(97 + i % 26)}{chr(97 + i // 26)} wrote to user{i}@mail.example.com from 10.0.0.{i % 250}.") for i in range(300)]
     rows += [(1000, rows[3][1]), (1001, None), (1002, ""), (1002, "")]
     own = docs(rows)
     out = s.pseudonymize(own)
-    assert out.columns == [*own.columns, "_kinds"] and out.count() == len(rows)
+    assert out.columns == [c for c in own.columns if c != "_kinds"] + ["_kinds"] and out.count() == len(rows)
+    untouched(out, [c for c in CLASHES if c != "_kinds"])
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[1000] == text[3] and text[1001] is None and text[1002] == ""
     assert len({re.search(r"Mr (\w+)", text[i])[1] for i in range(300)}) == 300
@@ -79,3 +84,32 @@ def test_names_beside_punctuation_are_found():
         for before in ("", "(", '"', ":", " ", "-", "́"):
             text = f"{before}{lead} Zander{'ов' if lead[0] > 'я' else ''}"
             assert any(kind.startswith("surname") for _, _, kind, _ in s.detect(text)) == any(m["rest"] or m["surname"] for m in s._PERSON.finditer(text))
+
+
+def test_names_outside_the_lists_are_found_by_context():
+    """Names spelled here, in sentences of a generator of the test's own."""
+    rng = random.Random(3)
+    make = lambda: "".join(rng.choice("ptkbdgmnrszlvchw") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))).capitalize()
+    frames = (
+        "{0} met {1} and {2}.", "Yesterday {0} wrote that all is well.", "Author: {0}", "Dear {0}, thank you.", "We told {0} about it.", "Contact: {0}, {1}", "Gestern traf {0} den Chef.",
+        "{0} vive en Lima con {1}.", "the report that {0} signed, and {1} too",
+    )
+    hits = total = 0
+    for k in range(900):
+        names = [f"{make()} {make()}" for _ in range(3)]
+        text = frames[k % len(frames)].format(*names)
+        new, _ = s.rewrite(text)
+        for n in names:
+            if n in text:
+                total += 1
+                hits += n not in new and not any(x in new for x in n.split())
+    assert hits / total > 0.85
+    for text in ("The New York office opened.", "In Paris it rained. Said no one.", "Great Britain and Ireland are islands.", "See Chapter Two and Table Three."):
+        assert s.rewrite(text) == (text, [])
+
+
+def test_coreference_of_a_bare_surname():
+    new, _ = s.rewrite("Wei Zhang met Olumide Adeyemi and Priya Sharma. Later Zhang left, and Sharma stayed.")
+    assert not re.search("Zhang|Wei|Olumide|Adeyemi|Priya|Sharma", new)
+    a = re.match(r"(\w+) (\w+) met (\w+) (\w+) and (\w+) (\w+)\. Later (\w+) left, and (\w+) stayed", new).groups()
+    assert a[6] == a[1] and a[7] == a[5] and len(set(a[:6])) == 6
