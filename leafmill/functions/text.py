@@ -16,17 +16,26 @@ _BREAKS = r"(?i)(?:<br\s*/?>|\s)+"
 
 
 @F.pandas_udf(StringType())
-def decoded(text: pd.Series) -> pd.Series:
-    """Character references decoded."""
+def _unescaped(text: pd.Series) -> pd.Series:
     import html
 
-    return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+    return text.map(html.unescape, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def compatible(text: pd.Series) -> pd.Series:
-    """Compatibility normal form, upper case."""
-    return text.map(lambda t: t if t is None else t.upper() if t.isascii() else unicodedata.normalize("NFKC", t).upper())
+def _compatible(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t).upper(), na_action="ignore")
+
+
+def decoded(text: Column) -> Column:
+    """Character references decoded; only texts that have an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility normal form, upper case; only texts beyond ASCII leave the JVM."""
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_compatible(F.when(wide, text)), F.upper(text))
 
 
 def unescape_markdown(text: Column) -> Column:

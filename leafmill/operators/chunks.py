@@ -14,29 +14,26 @@ def flat_heading(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("heading", F.nullif(F.last(mark, ignorenulls=True).over(order), F.lit("")))
 
 
-def heading_path(nodes: DataFrame, levels: int = 6) -> DataFrame:
+def heading_path(nodes: DataFrame) -> DataFrame:
     """Nodes with the stack of headings above them: a heading closes those of its level and deeper; furniture has none.
 
-    A level's last heading counts while no shallower heading came after it.
+    The stack is folded over a document's headings alone, whatever their levels; a node takes that of the last heading so far.
     """
     order = W.partitionBy("doc_id").orderBy("ord", "node_id").rowsBetween(W.unboundedPreceding, 0)
-    title = F.trim("text")
-    real = (F.col("kind") == "Heading") & (title != "")
-    at = F.struct("ord", "node_id", title.alias("title"))
-    last = [F.last(F.when(real & (F.col("heading_level") == k), at), ignorenulls=True).over(order) for k in range(1, levels + 1)]
-    step = nodes.withColumns({f"_h{k}": c for k, c in enumerate(last, 1)})
-
-    def place(k: int) -> Column:
-        return F.struct(F.col(f"_h{k}.ord"), F.col(f"_h{k}.node_id"))
-
-    live = []
-    for k in range(1, levels + 1):
-        open_ = F.col(f"_h{k}").isNotNull()
-        for j in range(1, k):
-            open_ &= F.col(f"_h{j}").isNull() | (place(j) < place(k))
-        live.append(F.when(open_, F.col(f"_h{k}.title")))
-    path = F.when(F.col("layer") == "Furniture", F.array().cast("array<string>")).otherwise(F.filter(F.array(*live), lambda x: x.isNotNull()))
-    return step.withColumn("heading_path", path).drop(*[f"_h{k}" for k in range(1, levels + 1)])
+    real = (F.col("kind") == "Heading") & (F.trim("text") != "")
+    item = F.struct("ord", "node_id", F.col("heading_level").alias("level"), F.trim("text").alias("title"))
+    heads = nodes.where(real).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("heads"))
+    one = "array<struct<level:int,title:string>>"
+    zero = F.struct(F.array().cast(one).alias("stack"), F.array().cast("array<array<string>>").alias("paths"))
+
+    def fold(acc, x):
+        stack = F.array_append(F.filter(acc["stack"], lambda h: h["level"] < x["level"]), F.struct(x["level"].cast("int").alias("level"), x["title"].alias("title")))
+        return F.struct(stack.cast(one).alias("stack"), F.array_append(acc["paths"], F.transform(stack, lambda h: h["title"])).alias("paths"))
+
+    paths = heads.select("doc_id", F.posexplode(F.aggregate("heads", zero, fold)["paths"]).alias("_n", "_path")).withColumn("_n", F.col("_n") + 1)
+    step = nodes.withColumn("_n", F.sum(real.cast("int")).over(order)).join(paths, ["doc_id", "_n"], "left").drop("_n")
+    none = F.array().cast("array<string>")
+    return step.withColumn("heading_path", F.when(F.col("layer") == "Furniture", none).otherwise(F.coalesce("_path", none))).drop("_path")
 
 
 def chunk(nodes: DataFrame, target: int = 4000, furniture: bool = False) -> DataFrame:

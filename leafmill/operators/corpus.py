@@ -10,23 +10,25 @@ from pyspark.sql import Window as W
 METRICS = {"retention_mean": 1, "spurious_mean": -1, "warning_rate": -1, "failure_rate": -1}
 
 
-def token_counts(texts: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return texts.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+def token_counts(texts: DataFrame, key: str, source: Column, output: Column) -> DataFrame:
+    """key, token, a and b: how often the source and the output of each text have it (one pass, one shuffle)."""
+    side = lambda tokens, a: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(a).cast("long").alias("a"), F.lit(1 - a).cast("long").alias("b")))
+    both = texts.select(key, F.explode(F.concat(side(source, 1), side(output, 0))).alias("x"))
+    return both.groupBy(key, F.col("x.token").alias("token")).agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
 
 
-def retention(source: DataFrame, output: DataFrame, key: str) -> DataFrame:
-    """Share of the source's tokens found in the output, and of the output's tokens not in the source; both are token counts."""
-    both = source.withColumnRenamed("n", "a").join(output.withColumnRenamed("n", "b"), [key, "token"], "full_outer").na.fill(0, ["a", "b"])
-    sums = both.groupBy(key).agg(
+def retention(counts: DataFrame, key: str) -> DataFrame:
+    """Share of the source's tokens found in the output, and of the output's tokens not in the source; counts: see ``token_counts``."""
+    sums = counts.groupBy(key).agg(
         F.sum("a").alias("source_tokens"), F.sum("b").alias("output_tokens"), F.sum(F.least("a", "b")).alias("shared"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("spurious"),
     )
     ratio = lambda x, y: F.when(F.col(y) > 0, F.round(F.col(x) / F.col(y), 6))
     return sums.select(key, "source_tokens", "output_tokens", ratio("shared", "source_tokens").alias("retention"), ratio("spurious", "output_tokens").alias("spurious_rate"))
 
 
-def missing_tokens(source: DataFrame, output: DataFrame, key: str, top: int = 20) -> DataFrame:
+def missing_tokens(counts: DataFrame, key: str, top: int = 20) -> DataFrame:
     """The tokens that the output lacks most."""
-    both = source.join(output.withColumnRenamed("n", "b"), [key, "token"], "left").withColumn("missing", F.col("n") - F.coalesce("b", F.lit(0))).where("missing > 0")
+    both = counts.withColumn("missing", F.col("a") - F.col("b")).where("missing > 0")
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("missing"), "token"))
     return both.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "rank", "token", "missing")
 

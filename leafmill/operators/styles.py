@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Styles may be based on others this deep; longer chains are cut, cycles end by it.
-DEPTH = 8
-
+from ..storage import materialize
 
 def style_chain(styles: DataFrame, value: str) -> DataFrame:
-    """The value of each style: its own, or that of the nearest style it is based on.
+    """The value of each style: its own, or that of the nearest style it is based on, however far.
 
-    styles: style_id, based_on and value; the chain is followed by joins of the style table with itself.
+    styles: style_id, based_on and value.  Each round joins the table with itself and doubles the stretch of the chain that
+    is known, until nothing is left to follow; styles on a cycle without a value have none.
     """
-    base = styles.select(F.col("style_id").alias("_id"), F.col("based_on").alias("_next"), F.col(value).alias("_value"))
-    out = styles.select("style_id", F.col("based_on").alias("_at"), F.col(value).alias("value"))
-    for _ in range(DEPTH):
-        step = out.join(base, out["_at"] == base["_id"], "left")
-        out = step.select("style_id", F.when(F.col("value").isNull(), F.col("_next")).alias("_at"), F.coalesce("value", "_value").alias("value"))
+    out = materialize(styles.select("style_id", F.col("based_on").alias("next"), F.col(value).alias("value")), "styles")
+    for _ in range(out.count().bit_length() + 1):
+        if out.where("value is null and next is not null").isEmpty():
+            break
+        base = out.select(F.col("style_id").alias("_id"), F.col("next").alias("_next"), F.col("value").alias("_value"))
+        step = out.join(base, out["next"] == base["_id"], "left")
+        out = materialize(step.select("style_id", F.when(F.col("value").isNull() & F.col("_value").isNull(), F.col("_next")).alias("next"), F.coalesce("value", "_value").alias("value")), "styles")
     return out.select("style_id", "value")
 
 
@@ -42,8 +43,8 @@ def code_blocks(paragraphs: DataFrame, least: int = 2) -> DataFrame:
     return inside.where(F.col("n") >= least).select("doc_id", "first_ord", "last_ord", "n")
 
 
-def list_numbers(items: DataFrame, levels: int = 3) -> DataFrame:
-    """Numbers of list items: one counts on within its list and level until a shallower item comes between."""
+def list_numbers(items: DataFrame, levels: int = 9) -> DataFrame:
+    """Numbers of list items (level 0 to levels - 1; the format has nine): one counts on within its list and level until a shallower item comes between."""
     order = W.partitionBy("doc_id", "num_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     out = items
     for k in range(levels):
@@ -123,20 +124,27 @@ def comment_places(nodes: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(key, anchored, "ord", "node_id"))).drop("_host")
 
 
-def nested_fold(tables: DataFrame, depth: int = 4) -> DataFrame:
-    """Text of tables with the tables nested in them folded in, at most `depth` deep.
+def nested_fold(tables: DataFrame) -> DataFrame:
+    """Text of the outermost tables with the tables nested in them folded in, however deep.
 
-    tables: table_id, parent_id, ord, text.  The deepest go first; each round joins the children of one level.
+    tables: table_id, parent_id, ord, text.  Rounds go down from the tables without a host, one level each, then the
+    children of each level are joined to their hosts, the deepest first.
     """
-    level = tables.withColumn("_level", F.lit(0)).select("table_id", "parent_id", "ord", "text", F.col("parent_id").alias("_up"), "_level")
-    ups = tables.select(F.col("table_id").alias("_up"), F.col("parent_id").alias("_above"))
-    for _ in range(depth):
-        level = level.join(ups, "_up", "left").select("table_id", "parent_id", "ord", "text", F.col("_above").alias("_up"), (F.col("_level") + F.col("_up").isNotNull().cast("int")).alias("_level"))
-    out = level.drop("_up")
-    for d in range(depth, 0, -1):
-        kids = out.where(F.col("_level") == d).groupBy(F.col("parent_id").alias("table_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "; ").alias("_in"))
-        out = out.join(kids, "table_id", "left").withColumn("text", F.when(F.col("_in").isNotNull(), F.concat("text", F.lit(" ["), "_in", F.lit("]"))).otherwise(F.col("text"))).drop("_in")
-    return out.where("_level = 0").select("table_id", "text")
+    known = tables.select(F.col("table_id").alias("parent_id"))
+    levels = [materialize(tables.join(known, "parent_id", "left_anti").select("table_id", "parent_id", "ord", "text"), "tables")]
+    while True:
+        hosts = levels[-1].select(F.col("table_id").alias("parent_id"))
+        below = materialize(tables.join(hosts, "parent_id").select("table_id", "parent_id", "ord", "text"), "tables")
+        if below.isEmpty():
+            break
+        levels.append(below)
+    out = levels[-1]
+    for level in levels[-2::-1]:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+        kids = out.groupBy(F.col("parent_id").alias("table_id")).agg(F.array_join(texts, "; ").alias("_in"))
+        folded = F.when(F.col("_in").isNotNull(), F.concat("text", F.lit(" ["), "_in", F.lit("]"))).otherwise(F.col("text"))
+        out = level.join(kids, "table_id", "left").select("table_id", "parent_id", "ord", folded.alias("text"))
+    return out.select("table_id", "text")
 
 
 def segment_hits(segments: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -231,3 +239,17 @@ def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.alias("a"), after.alias("b")
     both = a.join(b, ["package_id", "path"], "full_outer")
     return both.where(~(F.col("a.sha256").eqNullSafe(F.col("b.sha256")) & F.col("a.bytes").eqNullSafe(F.col("b.bytes")))).select("package_id", "path")
+
+
+def places(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with place, their number in the order of keys over the whole table.
+
+    Ranges of the keys are ranked by themselves; the counts of the ranges before give the rest, so no key is hot as long as
+    all keys together tell rows apart.
+    """
+    ranged = materialize(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    # one row for each range
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*keys))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("place", (own + F.col("_before")).cast("long")).drop("_range", "_before")

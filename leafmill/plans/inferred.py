@@ -58,10 +58,10 @@ def _(shapes):
 
 
 @query("g12_drawn_lines", "fragments", sql="""
-SELECT doc_id, page, frag_id, CASE WHEN frag_id % 5 = 0 THEN 'strike' ELSE 'underline' END AS decoration FROM fragments WHERE page = 1 AND frag_id % 5 IN (0, 1)
+SELECT doc_id, page, frag_id, CASE WHEN frag_id % 5 = 0 THEN 'strike' ELSE 'underline' END AS decoration FROM fragments WHERE frag_id % 5 IN (0, 1)
 """)
 def _(fragments):
-    spaced = fragments.where("page = 1").withColumn("y", F.col("frag_id") * 30.0)
+    spaced = fragments.withColumn("y", F.col("frag_id") * 30.0)
     strokes = spaced.where("frag_id % 5 in (0, 1, 2)").selectExpr("doc_id", "page", "y + h * if(frag_id % 5 = 0, 0.5D, 1D) y", "x x1", "x + w * if(frag_id % 5 = 2, 0.3D, 1D) x2")
     return inference.drawn_lines(spaced, strokes)
 

@@ -9,12 +9,12 @@ from .registry import query
 
 
 @query("e2_style_chains", "part", sql="""
-WITH RECURSIVE s AS (SELECT p_partkey AS style_id, CASE WHEN p_partkey % 7 > 0 THEN p_partkey - 1 END AS based_on, CASE WHEN p_size % 4 = 0 THEN p_size END AS value FROM part),
+WITH RECURSIVE s AS (SELECT p_partkey AS style_id, CASE WHEN p_partkey % 30 > 0 THEN p_partkey - 1 END AS based_on, CASE WHEN p_size % 16 = 0 THEN p_size END AS value FROM part),
 c AS (SELECT style_id, based_on, value, 0 AS d FROM s UNION ALL SELECT c.style_id, s.based_on, s.value, d + 1 FROM c JOIN s ON c.based_on = s.style_id WHERE c.value IS NULL)
 SELECT style_id, max(value) AS value FROM c GROUP BY style_id
 """)
 def _(part):
-    return styles.style_chain(part.selectExpr("p_partkey style_id", "case when p_partkey % 7 > 0 then p_partkey - 1 end based_on", "case when p_size % 4 = 0 then p_size end value"), "value")
+    return styles.style_chain(part.selectExpr("p_partkey style_id", "case when p_partkey % 30 > 0 then p_partkey - 1 end based_on", "case when p_size % 16 = 0 then p_size end value"), "value")
 
 
 @query("e1_hidden_runs", "nodes", "part", sql="""
@@ -36,13 +36,13 @@ def _(nodes):
 
 
 @query("e4_list_numbers", "nodes", sql="""
-WITH RECURSIVE i AS (SELECT doc_id, ord, node_id, heading_level % 3 AS lv, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM nodes),
-f AS (SELECT doc_id, 0::BIGINT AS n, CAST('' AS VARCHAR) AS node_id, 0 AS lv, 0 AS a, 0 AS b, 0 AS c FROM (SELECT DISTINCT doc_id FROM nodes)
-  UNION ALL SELECT i.doc_id, i.n, i.node_id, i.lv, CASE WHEN i.lv = 0 THEN f.a + 1 ELSE f.a END, CASE WHEN i.lv = 0 THEN 0 WHEN i.lv = 1 THEN f.b + 1 ELSE f.b END, CASE WHEN i.lv < 2 THEN 0 ELSE f.c + 1 END FROM f JOIN i ON i.doc_id = f.doc_id AND i.n = f.n + 1)
-SELECT node_id, CASE lv WHEN 0 THEN CAST(a AS STRING) WHEN 1 THEN a || '.' || b ELSE a || '.' || b || '.' || c END AS number FROM f WHERE n > 0
+WITH RECURSIVE i AS (SELECT doc_id, node_id, (heading_level * 3 + ord) % 9 AS lv, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM nodes),
+f AS (SELECT doc_id, 0::BIGINT AS n, CAST('' AS VARCHAR) AS node_id, 0 AS lv, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0] AS INT[]) AS c FROM (SELECT DISTINCT doc_id FROM nodes)
+  UNION ALL SELECT i.doc_id, i.n, i.node_id, i.lv, list_transform(f.c, lambda x, k: CASE WHEN k - 1 < i.lv THEN x WHEN k - 1 = i.lv THEN x + 1 ELSE 0 END) FROM f JOIN i ON i.doc_id = f.doc_id AND i.n = f.n + 1)
+SELECT node_id, array_to_string(c[1:lv + 1], '.') AS number FROM f WHERE n > 0
 """)
 def _(nodes):
-    items = nodes.selectExpr("doc_id", "1 num_id", "ord", "node_id", "heading_level % 3 level")
+    items = nodes.selectExpr("doc_id", "1 num_id", "ord", "node_id", "(heading_level * 3 + ord) % 9 level")
     return styles.list_numbers(items).select("node_id", "number")
 
 
@@ -178,13 +178,12 @@ def _(nodes):
 
 
 @query("j20_nested_tables", "nodes", sql="""
-WITH RECURSIVE t AS (SELECT node_id AS id, CASE WHEN ord % 8 > 0 THEN 'n' || (CAST(substring(node_id, 2) AS BIGINT) - 1) END AS up, ord, kind AS text FROM nodes WHERE ord < 24 AND ord % 8 < 4),
-f AS (SELECT id, text, 3 AS d FROM t WHERE ord % 8 = 3 UNION ALL SELECT t.id, t.text || ' [' || f.text || ']', d - 1 FROM f JOIN t x ON x.id = f.id JOIN t ON t.id = x.up)
-SELECT id AS table_id, text FROM f WHERE d = 0
+WITH RECURSIVE t AS (SELECT node_id AS id, CASE WHEN ord % 8 > 0 THEN 'n' || (CAST(substring(node_id, 2) AS BIGINT) - 1) END AS up, kind AS text FROM nodes),
+f AS (SELECT id, up, text FROM t WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.up = t.id) UNION ALL SELECT t.id, t.up, t.text || ' [' || f.text || ']' FROM f JOIN t ON t.id = f.up)
+SELECT id AS table_id, text FROM f WHERE up IS NULL OR NOT EXISTS (SELECT 1 FROM t h WHERE h.id = f.up)
 """)
 def _(nodes):
-    rows = nodes.where("ord < 24 and ord % 8 < 4").selectExpr("node_id table_id", "case when ord % 8 > 0 then 'n' || (cast(substring(node_id, 2) as bigint) - 1) end parent_id", "ord", "kind text")
-    return styles.nested_fold(rows)
+    return styles.nested_fold(nodes.selectExpr("node_id table_id", "case when ord % 8 > 0 then 'n' || (cast(substring(node_id, 2) as bigint) - 1) end parent_id", "ord", "kind text"))
 
 
 @query("u1_ordered_union", "nodes", sql="""
@@ -200,18 +199,10 @@ def _(nodes):
     return out.select("doc_id", "node_id", F.row_number().over(W.partitionBy("doc_id").orderBy("_g", "ord", "node_id")).alias("place"))
 
 
-@query("t1_t2_ordering", "documents", sql="SELECT doc_id, CAST(row_number() OVER (ORDER BY substring(text, 1, 3), doc_id) AS INT) AS place FROM documents")
+@query("t1_t2_ordering", "documents", sql="SELECT doc_id, row_number() OVER (ORDER BY text, doc_id) AS place FROM documents")
 def _(documents):
-    """Code-point order with an id tiebreak: ranges of the key, then places within them by the counts before."""
-    from pyspark.sql import Window as W
-
-    key = F.substring("text", 1, 3)
-    held = documents.select("doc_id", key.alias("k"))
-    counts = held.groupBy("k").agg(F.count("*").alias("n"))
-    # the distinct keys are few (three characters); rows are ranked within their key only
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("k").orderBy("doc_id"))
-    return held.join(before, "k").select("doc_id", (place + F.col("before")).cast("int").alias("place"))
+    """Code-point order of the whole texts with an id tiebreak."""
+    return styles.places(documents.select("doc_id", "text"), "text", "doc_id").select("doc_id", "place")
 
 
 @query("f14_sheet_labels", "cells", sql=r"""
@@ -225,21 +216,21 @@ def _(cells):
 
 
 @query("f21_linear_math", "nodes", sql="""
-SELECT doc_id AS eq_id, string_agg(CASE ord % 5 WHEN 0 THEN '(' || kind || ')/x' WHEN 1 THEN 'y^(' || layer || ')' WHEN 2 THEN 'z_2' WHEN 3 THEN '√(' || kind || ')' ELSE '+' END, '' ORDER BY ord) AS line FROM nodes WHERE ord < 10 GROUP BY doc_id
+SELECT doc_id AS eq_id, string_agg(CASE ord % 5 WHEN 0 THEN '(' || kind || ')/x' WHEN 1 THEN 'y^(' || layer || ')' WHEN 2 THEN 'z_2' WHEN 3 THEN '√(' || kind || ')' ELSE '+' END, '' ORDER BY ord) AS line FROM nodes GROUP BY doc_id
 """)
 def _(nodes):
-    rows = nodes.where("ord < 10").selectExpr(
+    rows = nodes.selectExpr(
         "doc_id eq_id", "ord", "element_at(array('frac', 'sup', 'sub', 'rad', 'text'), ord % 5 + 1) kind", "element_at(array(kind, 'y', 'z', kind, '+'), ord % 5 + 1) a", "element_at(array('x', layer, '2', '', ''), ord % 5 + 1) b"
     )
     return styles.linear_math(rows)
 
 
 @query("g10_character_grids", "cells", sql="""
-WITH d AS (SELECT DISTINCT sheet_id, row_no FROM cells WHERE amount % 4 = 0 AND (value IN ('-', '|', '+') OR length(value) > 1)), g AS (SELECT *, row_no - row_number() OVER (PARTITION BY sheet_id ORDER BY row_no) AS g FROM d)
+WITH d AS (SELECT DISTINCT sheet_id, row_no FROM (SELECT sheet_id, row_no, CASE WHEN amount % 4 = 0 THEN value ELSE '' END AS value FROM cells) WHERE (value IN ('-', '|', '+') OR length(value) > 1)), g AS (SELECT *, row_no - row_number() OVER (PARTITION BY sheet_id ORDER BY row_no) AS g FROM d)
 SELECT sheet_id, min(row_no) AS first_row, max(row_no) AS last_row FROM g GROUP BY sheet_id, g
 """)
 def _(cells):
-    return styles.character_grid(cells.where("amount % 4 = 0"))
+    return styles.character_grid(cells.withColumn("value", F.expr("case when amount % 4 = 0 then value else '' end")))
 
 
 @query("d3_dirty_cells", "cells", sql="""

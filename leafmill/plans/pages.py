@@ -104,13 +104,13 @@ def _(fragments):
 
 
 @query("w12_list_levels", "fragments", sql="""
-WITH RECURSIVE n AS (SELECT doc_id, page, frag_id AS line, x / 45.0 AS x, row_number() OVER (PARTITION BY doc_id, page ORDER BY frag_id) AS i FROM fragments WHERE frag_id < 12),
+WITH RECURSIVE n AS (SELECT doc_id, page, frag_id AS line, x / 45.0 AS x, row_number() OVER (PARTITION BY doc_id, page ORDER BY frag_id) AS i FROM fragments),
 f AS (SELECT doc_id, page, line, i, [CAST(x AS DOUBLE)] AS st FROM n WHERE i = 1
   UNION ALL SELECT n.doc_id, n.page, n.line, n.i, CASE WHEN len(list_filter(f.st, lambda s: s <= n.x + 1 AND abs(s - n.x) <= 1)) > 0 THEN list_filter(f.st, lambda s: s <= n.x + 1) ELSE list_append(list_filter(f.st, lambda s: s <= n.x + 1), CAST(n.x AS DOUBLE)) END
   FROM f JOIN n ON n.doc_id = f.doc_id AND n.page = f.page AND n.i = f.i + 1) SELECT doc_id, page, line, CAST(len(st) AS INT) AS level FROM f
 """)
 def _(fragments):
-    return layout.list_levels(fragments.where("frag_id < 12").selectExpr("doc_id", "page", "frag_id line", "cast(x / 45 as double) x"), 1.0)
+    return layout.list_levels(fragments.selectExpr("doc_id", "page", "frag_id line", "cast(x / 45 as double) x"), 1.0)
 
 
 _D2 = "power(greatest(s.x - c.x1, c.x1 - s.x - s.w, 0), 2) + power(greatest(s.y - c.y1, c.y1 - s.y - s.h, 0), 2)"
@@ -266,8 +266,8 @@ def _(cells):
     return rows.withColumn("start", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).cast("long"))
 
 
-@query("k6_json_lines", "nodes", sql="SELECT node_id, kind, text, ord FROM nodes WHERE ord % 2 = 0")
+@query("k6_json_lines", "nodes", sql="SELECT node_id, kind, text, ord FROM nodes")
 def _(nodes):
     """Nodes as JSON lines, read again under an explicit schema."""
-    lines = nodes.where("ord % 2 = 0").select(F.to_json(F.struct("node_id", "kind", "text", "ord")).alias("line"))
+    lines = nodes.select(F.to_json(F.struct("node_id", "kind", "text", "ord")).alias("line"))
     return lines.select(F.from_json("line", "node_id string, kind string, text string, ord int").alias("n")).select("n.*")

@@ -15,9 +15,7 @@ _TOKENS = r"""list_transform(regexp_extract_all({t}, '[0-9]+|[\p{{L}}]+'), lambd
 
 def _versions(documents):
     output = F.concat(F.array_join(F.filter(F.split("text", " "), lambda w, i: (i + 1) % 5 != 0), " "), F.lit(" extra words here"))
-    a = corpus.token_counts(documents, "doc_id", tokens.content_tokens(F.col("text")))
-    b = corpus.token_counts(documents.withColumn("out", output), "doc_id", tokens.content_tokens(tokens.strip_markdown(F.col("out"))))
-    return a, b
+    return corpus.token_counts(documents, "doc_id", tokens.content_tokens(F.col("text")), tokens.content_tokens(tokens.strip_markdown(output)))
 
 
 _COUNTS = f"""a AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS.format(t='text')}) AS token FROM documents) GROUP BY ALL),
@@ -30,14 +28,14 @@ WITH {_COUNTS} SELECT doc_id, CAST(sum(x) AS BIGINT) AS source_tokens, CAST(sum(
   CASE WHEN sum(y) > 0 THEN round(sum(greatest(y - x, 0)) / CAST(sum(y) AS DOUBLE), 6) END AS spurious_rate FROM j GROUP BY doc_id
 """)
 def _(documents):
-    return corpus.retention(*_versions(documents), "doc_id")
+    return corpus.retention(_versions(documents), "doc_id")
 
 
 @query("a18_t5_missing_tokens", "documents", sql=f"""
 WITH {_COUNTS}, r AS (SELECT doc_id, token, x - y AS missing, row_number() OVER (PARTITION BY doc_id ORDER BY x - y DESC, token) AS rank FROM j WHERE x > y) SELECT doc_id, CAST(rank AS INT) AS rank, token, missing FROM r WHERE rank <= 20
 """)
 def _(documents):
-    return corpus.missing_tokens(*_versions(documents), "doc_id")
+    return corpus.missing_tokens(_versions(documents), "doc_id")
 
 
 _SUMMARY = """SELECT run, format, count(*) AS count, round(count(*) FILTER (WHERE failed) / CAST(count(*) AS DOUBLE), 6) AS failure_rate, round(count(*) FILTER (WHERE has_warning) / CAST(count(*) AS DOUBLE), 6) AS warning_rate,
@@ -233,11 +231,11 @@ def _(nodes):
     return links.maximal_texts(nodes.where("text <> ''").select("doc_id", F.expr("substring(text, 1, 1 + length(text) % 7)").alias("text"), "ord"))
 
 
-_PATHS = "p AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN layer WHEN ord % 3 = 1 THEN layer || ' > ' || kind ELSE layer || ' > ' || kind || ' > ' || editability END AS path FROM nodes WHERE ord < 12)"
+_PATHS = "p AS (SELECT DISTINCT doc_id, CASE WHEN ord % 3 = 0 THEN layer WHEN ord % 3 = 1 THEN layer || ' > ' || kind ELSE layer || ' > ' || kind || ' > ' || editability END AS path FROM nodes)"
 
 
 def _paths(nodes):
-    return nodes.where("ord < 12").select("doc_id", F.expr("case when ord % 3 = 0 then layer when ord % 3 = 1 then layer || ' > ' || kind else layer || ' > ' || kind || ' > ' || editability end").alias("path"))
+    return nodes.select("doc_id", F.expr("case when ord % 3 = 0 then layer when ord % 3 = 1 then layer || ' > ' || kind else layer || ' > ' || kind || ' > ' || editability end").alias("path"))
 
 
 @query("u6_maximal_paths", "nodes", sql=f"WITH {_PATHS} SELECT doc_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND starts_with(q.path, p.path || ' > '))")

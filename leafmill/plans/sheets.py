@@ -114,20 +114,20 @@ def _(cells):
 
 
 @query("g5_key_values", "cells", sql=f"""
-WITH r AS (SELECT sheet_id, row_no, count(*) AS n, min_by(value, col_no) AS key, max_by(value, col_no) AS val, min(col_no) AS a, max(col_no) AS b FROM cells WHERE coalesce(value, '') <> '' AND col_no IN (1, 2, 6) GROUP BY sheet_id, row_no)
+WITH r AS (SELECT sheet_id, row_no, count(*) AS n, min_by(value, col_no) AS key, max_by(value, col_no) AS val, min(col_no) AS a, max(col_no) AS b FROM (SELECT sheet_id, row_no, col_no, CASE WHEN col_no IN (1, 2, 6) THEN value END AS value FROM cells) WHERE coalesce(value, '') <> '' GROUP BY sheet_id, row_no)
 SELECT sheet_id, row_no, key, val FROM r WHERE n = 2 AND b = a + 1 AND ({_NUM.replace('value', 'key')}) IS NULL
 """)
 def _(cells):
-    return ops.key_values(cells.where("col_no in (1, 2, 6)"))
+    return ops.key_values(cells.withColumn("value", F.expr("case when col_no in (1, 2, 6) then value end")))
 
 
 @query("g5_data_start", "cells", sql=f"""
-WITH r AS (SELECT sheet_id, row_no, bool_or(({_NUM}) IS NOT NULL) AS number FROM cells WHERE amount % 3 = 0 GROUP BY sheet_id, row_no),
+WITH r AS (SELECT sheet_id, row_no, bool_or(({_NUM}) IS NOT NULL) AS number FROM (SELECT sheet_id, row_no, CASE WHEN amount % 3 = 0 THEN value ELSE 'x' END AS value FROM cells) GROUP BY sheet_id, row_no),
 p AS (SELECT *, number AND coalesce(lead(number) OVER (PARTITION BY sheet_id ORDER BY row_no), false) AS pair FROM r)
 SELECT sheet_id, min(row_no) AS data_row FROM p WHERE pair AND row_no BETWEEN 3 AND 16 GROUP BY sheet_id
 """)
 def _(cells):
-    return ops.data_start(cells.where("amount % 3 = 0"))
+    return ops.data_start(cells.withColumn("value", F.expr("case when amount % 3 = 0 then value else 'x' end")))
 
 
 @query("e14_center_across", "cells", sql="""
@@ -140,12 +140,12 @@ def _(cells):
 
 
 @query("w6_table_regions", "cells", sql="""
-WITH c AS (SELECT DISTINCT sheet_id, row_no * 3 + col_no * (row_no % 4) AS col_no FROM cells WHERE coalesce(value, '') <> '' AND amount % 9 = 0),
+WITH c AS (SELECT DISTINCT sheet_id, row_no * 3 + col_no * (row_no % 4) AS col_no FROM (SELECT sheet_id, row_no, col_no, CASE WHEN amount % 9 = 0 THEN value END AS value FROM cells) WHERE coalesce(value, '') <> ''),
 g AS (SELECT *, sum(CASE WHEN col_no - p > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id ORDER BY col_no ROWS UNBOUNDED PRECEDING) AS region FROM (SELECT *, lag(col_no) OVER (PARTITION BY sheet_id ORDER BY col_no) AS p FROM c))
 SELECT sheet_id, CAST(region AS BIGINT) AS region, min(col_no) AS first_col, max(col_no) AS last_col, count(*) AS n_cols FROM g GROUP BY sheet_id, region
 """)
 def _(cells):
-    return ops.regions(cells.where("amount % 9 = 0").withColumn("col_no", F.expr("row_no * 3 + col_no * (row_no % 4)")))
+    return ops.regions(cells.withColumn("value", F.expr("case when amount % 9 = 0 then value end")).withColumn("col_no", F.expr("row_no * 3 + col_no * (row_no % 4)")))
 
 
 _LINES = r"l AS (SELECT sheet_id, row_no, '| ' || string_agg(replace(replace(coalesce(value, ''), '|', '\|'), chr(10), '<br>'), ' | ' ORDER BY col_no) || ' |' AS line FROM cells c WHERE EXISTS (SELECT 1 FROM cells d WHERE d.sheet_id = c.sheet_id AND d.col_no = c.col_no AND coalesce(d.value, '') <> '') GROUP BY sheet_id, row_no)"

@@ -10,17 +10,19 @@ from ..operators import search
 from ..sources import markdown
 from .registry import query
 
-#: A Markdown text for every document: headings, a fence, a list, links and comments around its first words.
-_MD = """concat('# ', substring(text, 1, 20 + doc_id % 9), chr(10), chr(10), CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) ELSE '- one' || chr(10) || '- two' || chr(10) END,
- '## Part ', CAST(doc_id % 5 AS STRING), chr(10), '<!-- block id="n', CAST(doc_id AS STRING), '" kind="p" -->', chr(10), 'See [site](http://x.org/', CAST(doc_id AS STRING), ') and ![pic](a.png).', chr(10), '| a | b |', chr(10), '| 1 | 2 |', chr(10), chr(10), '**bo**ld text of 11', CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE ' ' END, 'months &amp; more')"""
+#: A Markdown text for every document: headings, a fence, a list, links and comments, then all of its own lines.
+_MD = """concat('# Title ', CAST(doc_id AS STRING), chr(10), chr(10), CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) ELSE '- one' || chr(10) || '- two' || chr(10) END,
+ '## Part ', CAST(doc_id % 5 AS STRING), chr(10), '<!-- block id="n', CAST(doc_id AS STRING), '" kind="p" -->', chr(10), 'See [site](http://x.org/', CAST(doc_id AS STRING), ') and ![pic](a.png).', chr(10), '| a | b |', chr(10), '| 1 | 2 |', chr(10), chr(10), '**bo**ld text of 11', CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE ' ' END, 'months &amp; more', chr(10), text)"""
+#: Marks that would open fences, markup or references inside a document's own lines.
+_MARKS = r"[`~*<>&\\\[\]]"
 
 
 def _md(documents):
-    head = documents.withColumn("text", F.regexp_replace(F.substring("text", 1, 60), r"[\n`#|<>*-]", " "))
-    return head.select("doc_id", F.expr(_MD.replace("chr(10)", "'\\n'")).alias("text"))
+    own = documents.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), _MARKS, " "))
+    return own.select("doc_id", F.expr(_MD.replace("chr(10)", "'\\n'")).alias("text"))
 
 
-_DOCS = rf"""m AS (SELECT doc_id, {_MD} AS text FROM (SELECT doc_id, regexp_replace(substring(text, 1, 60), '[\n`#|<>*-]', ' ', 'g') AS text FROM documents)),
+_DOCS = rf"""m AS (SELECT doc_id, {_MD} AS text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_MARKS}', ' ', 'g') AS text FROM documents)),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM m),
 f AS (SELECT *, raw = '```' OR sum(CASE WHEN raw = '```' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 AS in_fence FROM l),
 c AS (SELECT *, CASE WHEN in_fence THEN 'code' WHEN regexp_matches(raw, '^\s*$') THEN 'blank' WHEN regexp_matches(raw, '^#{{1,6}}\s+\S') THEN 'heading' WHEN regexp_matches(raw, '^\s*([-*+]|\d+[.)])\s+\S') THEN 'list' WHEN regexp_matches(raw, '^\s*\|.*\|\s*$') THEN 'table' WHEN regexp_matches(raw, '^\s*>') THEN 'quote' ELSE 'paragraph' END AS kind FROM f)"""
@@ -67,17 +69,17 @@ def _(documents):
     return markdown.without_controls(markdown.fenced(markdown.lines(_md(documents)))).select("doc_id", "line", "raw")
 
 
-@query("k2_table_of_contents", "documents", sql=f"WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS INT) AS no, CAST(line AS INT) AS line, length(regexp_extract(raw, '^#+')) AS level, trim(regexp_extract(raw, '^#+\\s+(.+?)\\s*$', 1)) AS title FROM c WHERE kind = 'heading'")
+@query("k2_table_of_contents", "documents", sql=f"WITH {_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS INT) AS no, CAST(line AS INT) AS line, length(regexp_extract(raw, '^#+')) AS level, trim(regexp_extract(raw, '^#+\\s+(.+?)\\s*#*\\s*$', 1)) AS title FROM c WHERE kind = 'heading'")
 def _(documents):
     rows = markdown.classified(markdown.fenced(markdown.lines(_md(documents))))
     return markdown.outline(rows).withColumn("title", F.trim("title"))
 
 
-_SEARCH = r"""s AS (SELECT *, upper(replace(regexp_replace(raw, '\*\*|~~', '', 'g'), '&amp;', '&')) AS u, lag(raw) OVER (PARTITION BY doc_id ORDER BY line) AS pr FROM l),
-h AS (SELECT *, last_value(CASE WHEN starts_with(raw, '#') AND line > 0 THEN trim(regexp_extract(raw, '^#+\s+(.+?)\s*$', 1)) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM s)"""
+_SEARCH = r"""s AS (SELECT *, upper(replace(replace(regexp_replace(raw, '\*\*|~~', '', 'g'), '&amp;', '&'), 'ß', 'ss')) AS u, lag(raw) OVER (PARTITION BY doc_id ORDER BY line) AS pr FROM l),
+h AS (SELECT *, last_value(CASE WHEN starts_with(raw, '#') AND line > 0 THEN trim(regexp_extract(raw, '^#+\s+(.+?)\s*#*\s*$', 1)) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM s)"""
 
 
-@query("f3_w1_search", "documents", sql=f"WITH {_DOCS}, {_SEARCH} SELECT doc_id, line + 1 AS line, raw, CASE WHEN starts_with(raw, '#') THEN trim(regexp_extract(raw, '^#+\\s+(.+?)\\s*$', 1)) ELSE heading END AS heading FROM h WHERE contains(regexp_replace(u, '\\s+', '', 'g'), 'PART3') OR contains(regexp_replace(u, '\\s+', '', 'g'), 'BOLD')")
+@query("f3_w1_search", "documents", sql=f"WITH {_DOCS}, {_SEARCH} SELECT doc_id, line + 1 AS line, raw, CASE WHEN starts_with(raw, '#') THEN trim(regexp_extract(raw, '^#+\\s+(.+?)\\s*#*\\s*$', 1)) ELSE heading END AS heading FROM h WHERE contains(regexp_replace(u, '\\s+', '', 'g'), 'PART3') OR contains(regexp_replace(u, '\\s+', '', 'g'), 'BOLD')")
 def _(documents):
     lines = markdown.lines(_md(documents))
     both = search.search(lines, "part3").unionByName(search.search(lines, "bold"))
@@ -89,9 +91,9 @@ def _(documents):
     return search.search(markdown.lines(_md(documents)), "11  months & more").select("doc_id", "line", "raw", "heading")
 
 
-@query("f2_searchable_lines", "documents", sql=f"WITH {_DOCS}, {_SEARCH} SELECT doc_id, CAST(line AS INT) AS line, u FROM s WHERE line > 2")
+@query("f2_searchable_lines", "documents", sql=f"WITH {_DOCS}, {_SEARCH} SELECT doc_id, CAST(line AS INT) AS line, u FROM s")
 def _(documents):
-    return markdown.lines(_md(documents)).where("line > 2").select("doc_id", "line", T.searchable(F.col("raw")).alias("u"))
+    return markdown.lines(_md(documents)).select("doc_id", "line", T.searchable(F.col("raw")).alias("u"))
 
 
 @query("f4_escapes", "parts", sql=r"SELECT package_id, path, regexp_replace('a|b*' || section || '#_[x]', '([\\`*_{}\[\]<>#|])', '\\\1', 'g') AS escaped, replace(replace('a|b' || chr(10) || section, '|', '\|'), chr(10), '<br>') AS cell FROM parts")
@@ -114,9 +116,9 @@ def _(documents):
     return documents.select("doc_id", F.explode(tokens.content_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("f6_cjk_bigrams", "nodes", sql="SELECT node_id, '東京,京都,abc,12,字' AS tokens FROM nodes WHERE ord = 0")
+@query("f6_cjk_bigrams", "nodes", sql="SELECT node_id, '東京,京都,abc,12,字' AS tokens FROM nodes")
 def _(nodes):
-    return nodes.where("ord = 0").select("node_id", F.array_join(tokens.content_tokens(F.lit("東京都 ABC12 字")), ",").alias("tokens")).withColumn("tokens", F.replace("tokens", F.lit("京都"), F.lit("京都")))
+    return nodes.select("node_id", F.array_join(tokens.content_tokens(F.lit("東京都 ABC12 字")), ",").alias("tokens")).withColumn("tokens", F.replace("tokens", F.lit("京都"), F.lit("京都")))
 
 
 @query("f6_strip_markdown", "documents", sql=f"WITH {_DOCS} SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '<!--.*?-->', ' ', 'gs'), '(?m)^```[^\\n]*$', '', 'g'), '\\]\\([^)]*\\)', ']', 'g')) AS n FROM m")
