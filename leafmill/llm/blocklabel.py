@@ -8,12 +8,17 @@ numpy reads the blocks of the whole page in order and labels every one, so
 what surrounds a block, near and far, decides with it.
 
 The labeller is trained here on N_TRAIN generated pages (a documented bound;
-the generator varies layouts, tags and class names, and knows the labels).
+the generator varies layouts, tags and class names, leaves names or even
+structural tags out of some pages, and knows the labels).
+
+Pages are labelled in groups of at most CELLS padded blocks; a longer page is
+a group of its own, so memory grows with the longest page alone.  The path of
+a block holds all elements above it.
 
 Null and empty pages have an empty text.  Broken markup is read as browsers
 do, roughly: unclosed elements end with their parent, stray end tags are
 ignored, `<` that starts no tag is text.  Rows keep their multiplicity; extra
-columns pass through ``extract``.
+columns pass through ``extract``, but for those named like its results.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ from .common import texts
 
 N_TRAIN, EPOCHS, SEED = 1200, 12, 7
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 56, 24, 10, 24
-#: Pages labelled at a time.
-BATCH = 256
+#: Pages taken at a time, and padded blocks of a group.
+BATCH, CELLS = 256, 20_000
 
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template title iframe object svg canvas video audio map".split())
@@ -55,9 +60,11 @@ _PIECE = re.compile(r"[A-Za-z]+")
 
 
 class Block:
+    """Text, the vector of the elements above it, and how many of its characters are links."""
+
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
+    def __init__(self, text: str, path: np.ndarray, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
@@ -71,7 +78,9 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
 def cut(page: str) -> list[Block]:
     """The leaf blocks of a page, white space collapsed, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # open elements: tag, own vector, and the sum of those from the root on
+    stack: list[tuple[str, np.ndarray, np.ndarray]] = []
+    nothing = np.zeros(PATH_DIM, np.float32)
     text: list[str] = []
     linked = in_link = at = 0
     closing: dict[str, re.Pattern] = {}
@@ -81,7 +90,9 @@ def cut(page: str) -> list[Block]:
         if text:
             plain = " ".join("".join(text).split())
             if plain:
-                out.append(Block(plain, tuple("/".join(n) for _, n in stack[-8:]), linked))
+                # the three innermost count in full
+                path = 0.7 * stack[-1][2] + 0.3 * sum((e[1] for e in stack[-3:]), nothing) if stack else nothing
+                out.append(Block(plain, path, linked))
             text.clear()
         linked = 0
 
@@ -126,7 +137,8 @@ def cut(page: str) -> list[Block]:
                     if stack[i][0] in _SCOPES:
                         break
             if tag != "hr" and not m[3].endswith("/"):
-                stack.append((tag, names(tag, m[3])))
+                own = element(tag, m[3])
+                stack.append((tag, own, own + stack[-1][2] if stack else own))
     flush()
     return out
 
@@ -142,13 +154,13 @@ def bucket(word: str, salt: str, size: int) -> int:
 
 
 @lru_cache(50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def element(tag: str, attributes: str) -> np.ndarray:
+    """Vector of an element's names."""
     v = np.zeros(PATH_DIM, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        for name in element.split("/"):
-            for salt in "abc":
-                b = bucket(name, salt, PATH_DIM)
-                v[b % PATH_DIM] += (1 if b < PATH_DIM else -1) * (1.0 if depth < 3 else 0.7)
+    for name in names(tag, attributes):
+        for salt in "abc":
+            b = bucket(name, salt, PATH_DIM)
+            v[b % PATH_DIM] += 1 if b < PATH_DIM else -1
     return v
 
 
@@ -169,7 +181,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
             ids.append(np.fromiter(map(word_bucket, words), np.int64, len(words)))
             counts[r] = len(words)
             size = len(b.text)
-            out[r, :PATH_DIM] = path_vector(b.path)
+            out[r, :PATH_DIM] = b.path
             out[r, PATH_DIM + WORD_DIM :] = (
                 np.log1p(size) / 5, np.log1p(len(words)) / 4, min(1.0, b.linked / size), b.text[-1] in ".!?…。", min(1.0, (b.text.count(".") + b.text.count(",")) / len(words)),
                 (i + 1) / m, i < 3, i >= m - 3, "©" in b.text, 1.0,
@@ -288,7 +300,7 @@ def label(pages: list[list[Block]], w: dict[str, np.ndarray]) -> list[np.ndarray
         group = order[at : at + BATCH]
         # pages of similar length; a few very long ones don't pad the rest
         while group:
-            take = [k for k in group if len(pages[k]) <= 2 * len(pages[group[0]]) + 16]
+            take = [k for n, k in enumerate(group) if len(pages[k]) <= 2 * len(pages[group[0]]) + 16 and (not n or (n + 1) * len(pages[k]) <= CELLS)]
             sizes = [len(pages[k]) for k in take]
             x, mask = padded(vectors([pages[k] for k in take]), sizes)
             hidden = np.concatenate((forward(x, mask, w, "f"), forward(x, mask, w, "b"), x), 2)
@@ -299,25 +311,33 @@ def label(pages: list[list[Block]], w: dict[str, np.ndarray]) -> list[np.ndarray
     return out
 
 
+@lru_cache(1)
+def trained() -> dict[str, np.ndarray]:
+    """The weights, fitted once in a process."""
+    return train()
+
+
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """pages with _text (the main text, blocks joined by an empty line), _n_blocks and _n_main."""
-    held = pages.sparkSession.sparkContext.broadcast(weights or train())
+    """pages with main_text (the main text, blocks joined by an empty line), n_blocks and n_main; input columns of these names are replaced."""
+    added = ("main_text", "n_blocks", "n_main")
+    held = pages.sparkSession.sparkContext.broadcast(weights or trained())
+    own = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in added])
+    at = own.columns.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                blocks = [cut(t.decode()) for t in texts(part.column(part.num_columns - 1))]
+            for k in range(0, batch.num_rows, BATCH):
+                part = batch.slice(k, BATCH)
+                blocks = [cut(t.decode()) for t in texts(part.column(at))]
                 marks = [p > 0.5 for p in label(blocks, held.value)]
                 text = ["\n\n".join(b.text for b, keep in zip(own, mark) if keep) for own, mark in zip(blocks, marks)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(text, pa.string()), pa.array([len(b) for b in blocks], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())],
-                    names=[*part.schema.names[:-1], "_text", "_n_blocks", "_n_main"],
+                    [*part.columns, pa.array(text, pa.string()), pa.array([len(b) for b in blocks], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())],
+                    names=[*part.schema.names, *added],
                 )
 
-    own = pages.withColumn("_page", F.col("html").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return own.mapInArrow(run, f"{schema}, _text string, _n_blocks long, _n_main long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.mapInArrow(run, f"{schema}, main_text string, n_blocks long, n_main long")
 
 
 # -------------------------------------------------------------- generated pages
@@ -343,6 +363,11 @@ def paragraph(rng: random.Random) -> str:
         return " | ".join(words(rng, 1) for _ in range(rng.randint(2, 30))) + rng.choice((".", " |"))
     if rng.random() < 0.12:
         return " ".join(words(rng, 1) + rng.choice(("", ".", ",")) + rng.choice(("***", "$$$", "&amp;&amp;&amp;", "###", "%%%")) for _ in range(rng.randint(1, 60)))
+    if rng.random() < 0.03:
+        # long runs of the same words, without a sentence's end
+        return " ".join(w for _ in range(rng.randint(1, 4)) for w in [words(rng, 1)] * rng.choice((5, 40, 400, 2000)))
+    if rng.random() < 0.02:
+        return " ".join(words(rng, 1) + rng.choice(("", "", ",", ".")) for _ in range(rng.choice((300, 3000)))) + "."
     return " ".join(sentence(rng) for _ in range(rng.choice((1, 1, 2, 3, 5, 9))))
 
 
@@ -350,9 +375,14 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
     """A page and the set of its main blocks (as ``cut`` would give them)."""
     main: set[str] = set()
     pick = rng.choice
+    # some pages have no names, and some of these no structural tags either
+    unnamed = rng.random() < 0.25
+    plain_tags = unnamed and rng.random() < 0.5
 
     def tag(name: str, body: str, attributes: str = "", close: float = 1.0) -> str:
-        return f"<{name}{attributes}>{body}" + (f"</{name}>" if rng.random() < close else "")
+        if plain_tags and name in ("article", "aside", "footer", "header", "main", "nav", "section"):
+            name = "div"
+        return f"<{name}{'' if unnamed else attributes}>{body}" + (f"</{name}>" if rng.random() < close else "")
 
     def attr(*options: str) -> str:
         return pick(("", f' class="{pick(options)}"', f' class="{pick(options)} {pick(("box", "wide", "x1", "clearfix"))}"', f' id="{pick(options)}"'))
@@ -375,7 +405,8 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
             body = tag(pick(("div", "p", "h1", "h2", "span")), words(rng, 2), attr("logo", "brand", "title")) + pick(("", menu(), tag("p", sentence(rng))))
             return pick((tag("header", body, attr("site", "top", "masthead")), tag("div", body, named("header", "masthead", "banner", "topbar"))))
         if kind == "footer":
-            body = pick((f"&copy; {words(rng, 1)} &middot; {sentence(rng)}", tag("p", pick(_NOTES)) + menu(), tag("p", paragraph(rng)), sentence(rng)))
+            sign = pick(("©", "&#169;", "&copy;", "(c)", "Copyright", "®", ""))
+            body = pick((f"{sign} {words(rng, rng.randint(1, 3))} {pick('-–|/·,')} {sentence(rng)}", tag("p", pick(_NOTES)) + menu(), tag("p", paragraph(rng)), sentence(rng)))
             return pick((tag("footer", body, attr("site", "bottom")), tag("div", body, named("footer", "foot", "copyright", "bottom"))))
         if kind == "aside":
             body = tag(pick(("h2", "h3", "h4")), pick((pick(_NOTES), words(rng, 2)))) + pick((menu(), tag("p", paragraph(rng)), tag("ul", "".join(tag("li", sentence(rng)) for _ in range(rng.randint(1, 5))))))
@@ -399,7 +430,8 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
         main.add(plain)
         style = rng.random()
         if style < 0.12:
-            body = f"<b>{body}" + pick(("</b>", "<br>"))
+            inline = pick(("b", "i", "em", "strong", "span", "u", "small", "code"))
+            body = f"<{inline}>{body}" + pick((f"</{inline}>", "<br>", "<br/>", "", f"</{inline}><br>"))
         elif style < 0.24 and " " in body:
             a, _, b = body.partition(" ")
             body = pick((f"<em>{a}</em> {b}", f'<a href="/x">{a}</a> {b}', f"{a}\n  {b}", f"{a}<br>{b}", f"{a}&nbsp;{b}"))
@@ -436,10 +468,14 @@ def generate(rng: random.Random) -> tuple[str, set[str]]:
     before = [junk(k) for k in rng.sample(("nav", "header", "notice", "ad", "form", "aside"), rng.randint(0, 4))]
     after = [junk(k) for k in rng.sample(("footer", "aside", "comments", "ad", "form", "share", "notice", "nav"), rng.randint(0, 4))]
     rng.shuffle(before)
-    body = "".join(before) + ("<!-- ad 3 -->" if rng.random() < 0.3 else "") + article() + "".join(after)
+    body = "".join(before) + (f"<!-- {words(rng, rng.randint(1, 5))} -->" if rng.random() < 0.3 else "") + article() + "".join(after)
     if rng.random() < 0.3:
         body = tag("div", body, attr("wrapper", "page", "container", "site"))
-    head = f'<head><meta charset="utf-8"><title>{words(rng, 3)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
+    quoted = pick(("", f"'<div>{words(rng, 2)}</div>'", f'"</{pick(("p", "div", "body", "td"))}>"', f"/* {sentence(rng)} */"))
+    script = f"<script{pick(('', ' async', ' type=\"text/javascript\"'))}>{words(rng, 1)} = {quoted or 0};</script>"
+    style = f"<style>.{words(rng, 1).split()[0]} {{ {pick(('color', 'margin', 'padding'))}: {rng.randint(0, 20)}px }}</style>"
+    head = f"<head><title>{words(rng, 3)}</title>{pick(('', style))}{pick(('', script))}</head>"
+    body = pick(("", script)) + body + pick(("", script))
     page = f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
     # a text that is also somewhere outside the main part can't be told by its text alone
     return page, main

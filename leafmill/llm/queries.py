@@ -30,7 +30,7 @@ def op2_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_recurrent_block_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = blocklabel.extract(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"), F.col("_n_blocks").alias("n_blocks"), F.col("_n_main").alias("n_main"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), "n_blocks", "n_main")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
