@@ -229,11 +229,6 @@ def apply_edits(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.withColumns({"status": F.when(wants & allowed, "edited").when(wants, "refused").otherwise("kept"), "text": F.when(wants & allowed, F.col("_new")).otherwise(F.col("text"))}).drop("_new")
 
 
-def publish(rows: DataFrame, path: str) -> None:
-    """Write once: an existing target is an error, and files appear when the job commits."""
-    rows.write.mode("errorifexists").parquet(path)
-
-
 def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files whose size or digest differs between two looks at them, or that came or went."""
     a, b = before.alias("a"), after.alias("b")

@@ -57,7 +57,7 @@ SELECT concat(CAST(doc_id AS STRING), '.docx') AS path, CAST(row_number() OVER (
   CASE WHEN kind IN ('Heading', 'ListItem') THEN heading_level ELSE 0 END AS level, text FROM nodes WHERE text <> ''
 """)
 def _(nodes):
-    return containers.read_files(_docx(nodes), "docx")
+    return containers.read_files(_docx(nodes), "docx").drop("error")
 
 
 @query("s6_xlsx_scan", "cells", sql="""
@@ -71,14 +71,14 @@ def _(cells):
 SELECT concat(CAST(canvas_id AS STRING), '.pptx') AS path, CAST(1 + floor(shape_id / 10) AS INT) AS slide, shape_id + 1 AS shape_id, CASE WHEN shape_id = 0 THEN 'title' ELSE '' END AS placeholder, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, label AS text FROM shapes
 """)
 def _(shapes):
-    return containers.read_files(_pptx(shapes), "pptx")
+    return containers.read_files(_pptx(shapes), "pptx").drop("error")
 
 
 @query("s8_pdf_scan", "fragments", sql="""
 SELECT concat(CAST(doc_id AS STRING), '.pdf') AS path, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY frag_id) - 1 AS INT) AS frag_id, x, y, font_size, text FROM fragments
 """)
 def _(fragments):
-    return containers.read_files(_pdf(fragments), "pdf")
+    return containers.read_files(_pdf(fragments), "pdf").drop("error")
 
 
 def _mixed(nodes, cells, fragments):
@@ -102,7 +102,7 @@ def _(parts):
         own = {(f"../{p}" if o == 3 else p): m for p, o, m in zip(part["path"], part["ord"], part["markdown"])}
         return builders.package(own | ({"bomb.txt": "0" * 3_000_000} if (part["ord"] == 5).any() else {}))
 
-    return containers.read_files(_files(parts, "package_id", build, ".zip"), "problems")
+    return containers.read_files(_files(parts, "package_id", build, ".zip"), "problems").drop("error")
 
 
 @query("s10_package_entries", "parts", sql="SELECT concat(CAST(package_id AS STRING), '.zip') AS path, path AS entry, CAST(length(markdown) AS BIGINT) AS bytes, sha256(markdown) AS sha256 FROM parts")
@@ -110,14 +110,14 @@ def _(parts):
     def build(part):
         return builders.package(dict(zip(part["path"], part["markdown"])))
 
-    return containers.read_files(_files(parts, "package_id", build, ".zip"), "entries").drop("compressed")
+    return containers.read_files(_files(parts, "package_id", build, ".zip"), "entries").drop("compressed", "error")
 
 
 @query("s10_relationships", "shapes", sql="""
 SELECT concat(CAST(canvas_id AS STRING), '.pptx') AS path, 'ppt/presentation.xml' AS source, concat('rId', CAST(k AS STRING)) AS id, 'slide' AS type, concat('ppt/slides/slide', CAST(k AS STRING), '.xml') AS target, false AS external FROM (SELECT DISTINCT canvas_id FROM shapes), (VALUES (1), (2)) AS v(k)
 """)
 def _(shapes):
-    return containers.read_files(_pptx(shapes), "relationships")
+    return containers.read_files(_pptx(shapes), "relationships").drop("error")
 
 
 @query("s9_embedded_assets", "parts", sql="SELECT concat(CAST(package_id AS STRING), '.zip') AS path, concat('word/media/i', CAST(ord AS STRING), '.png') AS entry, 'image/png' AS type, CAST(length(markdown) AS BIGINT) AS bytes, sha256(markdown) AS sha256 FROM parts WHERE ord % 2 = 0")
@@ -125,4 +125,23 @@ def _(parts):
     def build(part):
         return builders.package({(f"word/media/i{o}.png" if o % 2 == 0 else p): m for o, p, m in zip(part["ord"], part["path"], part["markdown"])})
 
-    return containers.read_files(_files(parts, "package_id", build, ".zip"), "media")
+    return containers.read_files(_files(parts, "package_id", build, ".zip"), "media").drop("error")
+
+
+@query("s2_unreadable_files", "parts", sql="""
+SELECT concat(CAST(package_id AS STRING), '-', CAST(ord AS STRING), '.bin') AS path, CASE WHEN ord % 4 = 0 THEN 'path_traversal' WHEN ord % 4 = 1 THEN 'compression_ratio' ELSE 'BadZipFile' END AS error FROM parts WHERE ord % 4 < 3
+""")
+def _(parts):
+    """Files that the gate stops or nothing can open are rows with their error; the others have none."""
+
+    def build(part):
+        return pd.DataFrame({
+            "path": [f"{k}-{o}.bin" for k, o in zip(part["package_id"], part["ord"])],
+            "content": [
+                builders.package({"../x.md": m} if o % 4 == 0 else {"bomb.txt": "0" * 3_000_000} if o % 4 == 1 else {"a.md": m}) if o % 4 != 2 else m.encode() for o, m in zip(part["ord"], part["markdown"])
+            ],
+        })
+
+    files = parts.select("package_id", "ord", "markdown").mapInPandas(lambda it: (build(p) for p in it), "path string, content binary")
+    found = containers.failures(containers.read_files(files, "entries"))
+    return found.select("path", F.regexp_extract("error", r"(path_traversal|compression_ratio|BadZipFile)", 1).alias("error"))

@@ -271,3 +271,21 @@ def _(nodes):
     """Nodes as JSON lines, read again under an explicit schema."""
     lines = nodes.select(F.to_json(F.struct("node_id", "kind", "text", "ord")).alias("line"))
     return lines.select(F.from_json("line", "node_id string, kind string, text string, ord int").alias("n")).select("n.*")
+
+
+@query("k9_publish", "nodes", sql="SELECT node_id, kind, text, ord, true AS kept FROM nodes")
+def _(nodes):
+    """Published once and read back; a second table for the same target is refused and changes nothing."""
+    import uuid
+
+    from ..storage import publish, shared_dir
+
+    path = f"{shared_dir(nodes.sparkSession)}/published-{uuid.uuid4().hex}"
+    publish(nodes.select("node_id", "kind", "text", "ord"), path)
+    try:
+        publish(nodes.select("node_id"), path)
+    except FileExistsError:
+        refused = True
+    else:
+        refused = False
+    return nodes.sparkSession.read.parquet(path).withColumn("kept", F.lit(refused))

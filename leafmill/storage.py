@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +29,30 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/leafmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish(df: DataFrame, path: str, **options: str) -> None:
+    """Write a table as Parquet under path, whole or not at all, and never over something that is there.
+
+    The files are staged beside the target, and one rename that refuses an existing target makes them visible.  A failed
+    write leaves neither the target nor the stage behind.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs_path, context = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.FileContext
+    target = fs_path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    stage = fs_path(target.getParent(), f".{target.getName()}.stage-{uuid.uuid4().hex}")
+    try:
+        df.write.options(**options).parquet(stage.toString())
+        flags = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.getFileContext(target.toUri(), conf).rename(stage, target, flags)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise FileExistsError(path) from e
+        raise
+    finally:
+        fs.delete(stage, True)

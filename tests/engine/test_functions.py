@@ -95,15 +95,48 @@ def test_label_assignment_is_the_best_matching(spark):
         assert len({e for _, e in mine}) == len(mine) and math.isclose(sum(own[m] for m in mine), best, abs_tol=1e-9)
 
 
+def test_connection_search_is_the_best_joint_choice(spark):
+    rng = random.Random(2)
+    rows = [(c, k, s, d, round(rng.random(), 3)) for c in range(25) for k in range(3) for s, d in rng.sample([(a, b) for a in range(3) for b in range(3) if a != b], 4)]
+    got = inference.solve_connections(spark.createDataFrame(rows, "canvas_id long, connector_id int, src int, dst int, score double")).collect()
+    for c in range(25):
+        options = [[((s, d), v) for i, k, s, d, v in rows if i == c and k == n] for n in range(3)]
+        costs = {}
+        for choice in itertools.product(*options):
+            ends = [e for e, _ in choice]
+            costs[tuple(ends)] = -sum(v for _, v in choice) + 0.25 * sum(e in ends[:n] for n, e in enumerate(ends))
+        best = min(costs.values())
+        mine = {r["connector_id"]: ((r["src"], r["dst"]), r["margin"]) for r in got if r["canvas_id"] == c}
+        ends = tuple(mine[n][0] for n in range(3))
+        assert math.isclose(costs[ends], best, abs_tol=1e-9)
+        for n in range(3):
+            other = min(v for k, v in costs.items() if k[n] != ends[n])
+            assert math.isclose(mine[n][1], other - best, abs_tol=1e-6)
+
+
+def test_publish_is_whole_or_nothing(spark, tmp_path):
+    from leafmill.storage import publish
+
+    target = f"file://{tmp_path}/out"
+    with pytest.raises(Exception):
+        publish(spark.range(5).selectExpr("assert_true(id < 3) x"), target)
+    assert list(tmp_path.iterdir()) == []
+    publish(spark.range(5), target)
+    with pytest.raises(FileExistsError):
+        publish(spark.range(9), target)
+    assert spark.read.parquet(target).count() == 5 and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["out"]
+
+
 def test_containers_refuse_and_survive(spark):
     bomb = builders.package({"a": "0" * 2_000_000, "../x": "1"})
     assert {c for c, _ in containers.problems(bomb)} == {"compression_ratio", "path_traversal"}
     assert containers.problems(b"nothing") == [("broken_zip", "")]
     evil = builders.package({"word/document.xml": '<!DOCTYPE x [<!ENTITY a "b">]><x/>'})
     files = spark.createDataFrame([("a.docx", evil), ("b.docx", b"PK\x03\x04broken"), ("c.docx", builders.docx([("Heading", 2, "T & t"), ("Table", 0, "a\tb\nc\td")]))], "path string, content binary")
-    got = [(r["path"], r["kind"], r["level"], r["text"]) for r in containers.read_files(files, "docx").collect()]
+    read = containers.read_files(files, "docx")
+    got = [(r["path"], r["kind"], r["level"], r["text"]) for r in read.where("error is null").collect()]
     assert got == [("c.docx", "Heading", 2, "T & t"), ("c.docx", "Table", 0, "a\tb\nc\td")]
-    assert {r["path"] for r in containers.failures(files, containers.docx_nodes).collect()} == {"a.docx", "b.docx"}
+    assert {r["path"] for r in containers.failures(read).collect()} == {"a.docx", "b.docx"}
     assert containers.detect("x.txt", bomb) == ("zip", "") and containers.detect("x.doc", builders.pdf([[]])) == ("pdf", "extension_mismatch")
 
 
