@@ -5,6 +5,12 @@ from __future__ import annotations
 _WS = r"[\x20\x09-\x0D]"
 _SPACE = rf"{_WS}+"
 _WORD = r"[^\x20\x09-\x0D]+"
+#: The phrases of the rule that is checked.
+_PHRASES = (
+    r"all rights reserved|©|copyright \(c\)|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|"
+    r"enable javascript|javascript is (disabled|required)|lorem ipsum|click here|read more$|sign up (now|for)|subscribe (now|to our)|"
+    r"powered by|^licensed under|^released under the|is licensed under the|^share (this|on)"
+)
 
 OP9 = rf"""
 WITH d AS (
@@ -24,7 +30,7 @@ WITH d AS (
   SELECT rid, x, length(regexp_replace(x, '{_SPACE}', '', 'g')) AS bare,
          length(regexp_replace(x, '[^#*$%&|<>{{}}\\^~=_]+', '', 'g')) AS sym,
          regexp_extract_all(x, '{_WORD}') AS tok, regexp_matches(x, '[.!?;:,…。！？؟।]') AS ends,
-         regexp_matches(lower(x), '{BOILERPLATE}') AS boiler
+         regexp_matches(lower(x), '{_PHRASES}') AS boiler
   FROM (SELECT rid, unnest(l) AS x FROM w)
 ), kept_chars AS (
   SELECT rid, sum(bare) AS kept FROM judged
