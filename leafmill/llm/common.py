@@ -51,6 +51,15 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, total: int,
     return rows.join(hot, key).unionByName(light.join(found.where(~heavy).drop(weight), key))
 
 
+#: Rows of a few numbers that may be broadcast (some 60 MB).
+FEW = 1_000_000
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """rows (a materialized table) for a join: broadcast if they are at most `most`, else shuffled."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def let(value: Column, body) -> Column:
     """Bind value once inside a higher-order expression (a lambda would evaluate it for every element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

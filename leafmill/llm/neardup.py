@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialize, texts
+from .common import few, materialize, texts
 from .simhash import row_hash, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -269,9 +269,11 @@ def settled(members: DataFrame, least: float = SIMILARITY, hot: int = HOT, block
     return out
 
 
-def groups(docs: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: int = BLOCK, crowded: int = simhash.CROWDED) -> DataFrame:
-    """key, first (doc, hash and n of the row of these words that comes first) and label (a key that stands for its group) of each distinct text."""
-    own = materialize(prints(docs.where(docs["doc_id"].isNotNull())), "prints")
+def groups(docs: DataFrame, own: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: int = BLOCK, crowded: int = simhash.CROWDED) -> DataFrame:
+    """key, first (doc, hash and n of the row of these words that comes first) and label (a key that stands for its group) of each distinct text.
+
+    own: the prints of docs.
+    """
     rows = own.groupBy("key", "size", *CODE, "doc_id", "hash").agg(F.count("*").alias("n"))
     reps = materialize(rows.groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").alias("doc"), "hash", "n")).alias("first"), *[F.min(c).alias(c) for c in ("size", *CODE)]
@@ -289,7 +291,7 @@ def groups(docs: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["root", "key", "size", "set"])
 
     # equal rows have the same key: one of them is enough
-    texts_of = text.join(named, ["doc", "hash"]).select("root", "key", "size", "text")
+    texts_of = text.join(few(named), ["doc", "hash"]).select("root", "key", "size", "text")
     with_sets = texts_of.mapInArrow(sets, "root long, key long, size long, set binary")
     label = materialize(verified(with_sets.join(weight, "root", "left_anti"), least), "near")
     if not weight.isEmpty():
@@ -299,5 +301,6 @@ def groups(docs: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: in
 
 def dedup(docs: DataFrame, least: float = SIMILARITY, hot: int = HOT, block: int = BLOCK, crowded: int = simhash.CROWDED) -> DataFrame:
     """One document of each group: the one with the smallest doc_id; same columns as the input."""
-    keep = groups(docs, least, hot, block, crowded).groupBy("label").agg(F.min("first").alias("first")).select("first.*")
-    return simhash.keep_rows(docs, keep)
+    own = materialize(prints(docs.where(docs["doc_id"].isNotNull())), "prints")
+    keep = groups(docs, own, least, hot, block, crowded).groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    return simhash.keep_rows(docs, materialize(keep, "keep"), own.select(F.col("doc_id").alias("doc"), "hash"))

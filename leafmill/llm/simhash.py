@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lookup, materialize, texts
+from .common import few, fresh, lookup, materialize, texts
 
 FAN = 8
 #: Codes in a bucket beyond which it is dealt again.
 CROWDED = 20_000
 #: Queries that descend at a time, and nodes that they may reach together; codes of a partition indexed at a time.
-BATCH, REACH, CHUNK = 1 << 15, 4_000_000, 200_000
+BATCH, REACH, CHUNK = 1 << 15, 500_000, 100_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -321,15 +321,21 @@ def row_hash(docs: DataFrame):
     return F.xxhash64(docs["text"].cast("string"))
 
 
-def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs that keep names by doc, hash and n (how many equal rows there are, of which one stays), and all without a doc_id."""
-    doc, mark, many = fresh(docs.columns, "_doc", "_hash", "_many")
+def keep_rows(docs: DataFrame, keep: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs that keep names by doc, hash and n (how many equal rows there are, of which one stays), and all without a doc_id.
+
+    rows has the doc and hash of all rows.  Most texts stay, so those that go are looked up: without a shuffle of the texts
+    as long as these are few enough to broadcast.
+    """
+    doc, mark = fresh(docs.columns, "_doc", "_hash")
     names = [F.col(f"`{c}`") for c in docs.columns]
+    on = lambda x: few(x.select(F.col("doc").alias(doc), F.col("hash").alias(mark)))
     own = docs.where(docs["doc_id"].isNotNull()).withColumns({doc: docs["doc_id"].cast("long"), mark: row_hash(docs)})
-    kept = own.join(keep.select(F.col("doc").alias(doc), F.col("hash").alias(mark), (F.col("n") > 1).alias(many)), [doc, mark])
-    # only repeated rows need another shuffle
-    once, again = kept.where(~F.col(many)), kept.where(F.col(many)).dropDuplicates([doc, mark])
-    return once.select(*names).unionByName(again.select(*names)).unionByName(docs.where(docs["doc_id"].isNull()))
+    gone = materialize(rows.join(keep, ["doc", "hash"], "left_anti").select("doc", "hash").distinct(), "gone")
+    left, many = own.join(on(gone), [doc, mark], "left_anti"), materialize(keep.where("n > 1").select("doc", "hash"), "many")
+    if not many.isEmpty():
+        left = left.join(on(many), [doc, mark], "left_anti").unionByName(left.join(on(many), [doc, mark], "left_semi").dropDuplicates([doc, mark]))
+    return left.select(*names).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
@@ -339,4 +345,5 @@ def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, crowded: int = CRO
     rows = prints.groupBy("code", "doc_id", "hash").agg(F.count("*").alias("n"))
     first = materialize(rows.groupBy("code").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "hash", "n")).alias("first")), "first")
     named = groups(prints, radius, crowded).drop("n").join(first, "code")
-    return keep_rows(docs, named.groupBy("component_id").agg(F.min("first").alias("first")).select("first.*"))
+    keep = materialize(named.groupBy("component_id").agg(F.min("first").alias("first")).select("first.*"), "keep")
+    return keep_rows(docs, keep, prints.select(F.col("doc_id").alias("doc"), "hash"))
