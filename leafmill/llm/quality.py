@@ -18,7 +18,9 @@ from .common import SPACE, WORD, fresh, let, text_of
 BOILERPLATE = (
     r"all rights reserved|©|copyright \(c\)|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|"
     r"enable javascript|javascript is (disabled|required)|lorem ipsum|click here|read more$|sign up (now|for)|subscribe (now|to our)|"
-    r"powered by|^licensed under|^released under the|is licensed under the|^share (this|on)"
+    r"powered by|^licensed under|^released under the|is licensed under the|^share (this|on)|"
+    r"alle rechte vorbehalten|datenschutzerklärung|^impressum$|cookies akzeptieren|tous droits réservés|politique de confidentialité|accepter (tous )?les cookies|"
+    r"todos los derechos reservados|política de privacidad|aceptar (todas las )?cookies"
 )
 #: Tokens that separate the links of a navigation bar.
 SEPARATOR = r"^[|>/»›•·]+$"
@@ -38,7 +40,7 @@ def squeezed(x: Column) -> Column:
 #: One of these is in every line that BOILERPLATE finds.
 HINTS = (
     "all rights reserved", "©", "copyright (c)", "terms of", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "read more", "sign up", "subscribe", "powered by",
-    "licensed under", "released under", "share ",
+    "licensed under", "released under", "share ", "rechte vorbehalten", "datenschutzerkl", "impressum", "droits réservés", "confidentialité", "derechos reservados", "privacidad",
 )
 
 

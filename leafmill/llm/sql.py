@@ -9,7 +9,9 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _PHRASES = (
     r"all rights reserved|©|copyright \(c\)|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|"
     r"enable javascript|javascript is (disabled|required)|lorem ipsum|click here|read more$|sign up (now|for)|subscribe (now|to our)|"
-    r"powered by|^licensed under|^released under the|is licensed under the|^share (this|on)"
+    r"powered by|^licensed under|^released under the|is licensed under the|^share (this|on)|"
+    r"alle rechte vorbehalten|datenschutzerklärung|^impressum$|cookies akzeptieren|tous droits réservés|politique de confidentialité|accepter (tous )?les cookies|"
+    r"todos los derechos reservados|política de privacidad|aceptar (todas las )?cookies"
 )
 
 OP9 = rf"""

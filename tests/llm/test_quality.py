@@ -32,11 +32,12 @@ def test_counts_match_brute_force(docs):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_lines_go_and_documents_follow(docs):
+def test_lines_go_and_documents_follow(docs, untouched):
     junk = "\n".join("nav | bar | with | many | links | here | and | more" for _ in range(30))
     own = docs([(1, CLEAN + "\nAll rights reserved."), (2, CLEAN + "\n" + junk), (3, CLEAN), (4, None), (5, CLEAN), (5, CLEAN)])
     out = quality.clean(own)
     assert out.columns == own.columns
+    untouched(out)
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect())
     assert got == [(1, CLEAN, len(CLEAN)), (3, CLEAN, len(CLEAN)), (5, CLEAN, len(CLEAN)), (5, CLEAN, len(CLEAN))]
 
@@ -44,3 +45,10 @@ def test_lines_go_and_documents_follow(docs):
 def test_empty_table(docs, spark):
     own = docs([(1, "x")]).where("false")
     assert quality.clean(own).count() == 0 and quality.measure(own).count() == 0
+
+
+def test_phrases_of_four_languages(docs):
+    lines = ["Alle Rechte vorbehalten.", "Impressum", "Tous droits réservés.", "Politique de confidentialité", "Todos los derechos reservados.", "Política de privacidad", "Please click here."]
+    own = docs([(i, f"{CLEAN}\n{x}") for i, x in enumerate(lines)] + [(50, f"{CLEAN}\nDas Impressum der Zeitung fehlt."), (51, f"{CLEAN}\nShe will share this on Monday.")])
+    got = {r["doc_id"]: r["text"] for r in quality.clean(own).collect()}
+    assert all(got[i] == CLEAN for i in range(len(lines))) and got[50] != CLEAN and got[51] != CLEAN
