@@ -117,3 +117,20 @@ def expectation_summary(results: DataFrame) -> DataFrame:
 def output_collisions(outputs: DataFrame) -> DataFrame:
     """Targets (without case) that more than one input writes."""
     return outputs.groupBy(F.lower("target").alias("target")).agg(F.count_distinct("input").alias("n")).where("n > 1")
+
+
+def capability_verdict(statuses: DataFrame, key: str) -> DataFrame:
+    """Whether what an installation can do suffices, by key.
+
+    statuses: key, id, tier (required, optional), status, provider, satisfied_by.  Plainly all required ones must be ready;
+    strictly all must, but for an optional one whose stand-in (the provider in satisfied_by) is ready.
+    """
+    ready = statuses.where("status = 'ready'").select(key, F.col("provider").alias("satisfied_by")).distinct().withColumn("_stands_in", F.lit(True))
+    own = statuses.join(ready, [key, "satisfied_by"], "left")
+    unready, optional = F.col("status") != "ready", F.col("tier") == "optional"
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("id")))), ",")
+    out = own.groupBy(key).agg(
+        F.bool_and(~((F.col("tier") == "required") & unready)).alias("required_ready"), listed(optional & unready).alias("optional_gaps"),
+        listed(unready & ~(optional & F.coalesce("_stands_in", F.lit(False)))).alias("strict_failures"),
+    )
+    return out.withColumns({"exit_code": F.when(F.col("required_ready"), 0).otherwise(1), "strict_exit_code": F.when(F.col("strict_failures") == "", 0).otherwise(1)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import numberformat
 from ..operators import inference, layout
@@ -123,24 +124,27 @@ def _(diagnostics):
     return inference.capped(diagnostics, "doc_id", ["severity", "diag_id"], 3).select("doc_id", "diag_id", "place", "omitted")
 
 
-@query("s_html_nodes", "pages", sql="""
-SELECT page_id, count(*) FILTER (WHERE starts_with(x, '<p>') OR starts_with(x, '<h1>')) AS opened FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', ''), '<(?:p|h1)>(?:<b>)?[^<]')) AS x FROM pages) GROUP BY page_id
+@query("s_html_nodes", "pages", sql=r"""
+WITH a AS (SELECT page_id, string_split(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<(p|h1)>', chr(1) || '\1>', 'g'), chr(1)) AS x FROM pages),
+b AS (SELECT page_id, unnest(x[2:]) AS x, generate_subscripts(x[2:], 1) AS i FROM a),
+t AS (SELECT page_id, i, CASE WHEN starts_with(x, 'h1>') THEN 'Heading' ELSE 'Paragraph' END AS kind,
+  trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '^[^>]*>', ''), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS place, kind, text FROM t WHERE text <> ''
 """)
 def _(pages):
-    """Blocks of the article, counted against the start tags that text follows."""
-    nodes = html.page_nodes(pages)
-    return nodes.where("layer = 'Body' and kind in ('Paragraph', 'Heading')").groupBy("page_id").agg(F.count("*").alias("opened"))
+    """Blocks of the article with their text."""
+    nodes = html.page_nodes(pages).where("layer = 'Body' and kind in ('Paragraph', 'Heading')")
+    return nodes.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("ord")).alias("place"), "kind", "text")
 
 
 @query("k2_readable_html", "nodes", sql="""
-SELECT doc_id, count(*) FILTER (WHERE kind = 'Heading') AS headings, count(*) FILTER (WHERE kind = 'ListItem') AS items, count(*) FILTER (WHERE kind NOT IN ('Heading', 'ListItem')) AS paragraphs FROM nodes WHERE text <> '' GROUP BY doc_id
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, node_id) AS INT) AS place, CASE WHEN kind IN ('Heading', 'ListItem') THEN kind ELSE 'Paragraph' END AS kind, CASE WHEN kind = 'Heading' THEN heading_level ELSE 0 END AS level, text FROM nodes WHERE text <> ''
 """)
 def _(nodes):
-    """The documents as HTML, read again by the HTML source."""
+    """The documents as HTML, read again by the HTML source; the table of contents is furniture."""
     pages = html.readable(nodes).withColumnRenamed("doc_id", "page_id")
     back = html.page_nodes(pages).where("layer = 'Body'")
-    n = lambda k: F.count_if(F.col("kind") == k)
-    return back.groupBy(F.col("page_id").alias("doc_id")).agg(n("Heading").alias("headings"), n("ListItem").alias("items"), n("Paragraph").alias("paragraphs"))
+    return back.select(F.col("page_id").alias("doc_id"), F.row_number().over(W.partitionBy("page_id").orderBy("ord")).alias("place"), "kind", F.col("heading_level").alias("level"), "text")
 
 
 _WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT)) / 100, 2) AS total FROM events GROUP BY ALL"

@@ -264,3 +264,19 @@ SELECT doc_id, asset_id FROM (SELECT DISTINCT doc_id, asset_id FROM assets) a WH
 """)
 def _(images, assets):
     return assets.select("doc_id", "asset_id").distinct().join(images.select("doc_id", F.col("reference").alias("asset_id")), ["doc_id", "asset_id"], "left_anti")
+
+
+@query("e47_capability_verdict", "supplier", sql="""
+WITH s AS (SELECT s_nationkey AS site, s_name AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'required' ELSE 'optional' END AS tier, CASE WHEN s_acctbal > 8000 THEN 'partial' WHEN s_acctbal < 0 THEN 'unavailable' ELSE 'ready' END AS status,
+  'p' || s_suppkey % 4 AS provider, CASE WHEN s_suppkey % 2 = 0 THEN 'p' || s_suppkey % 3 END AS satisfied_by FROM supplier),
+j AS (SELECT *, tier = 'optional' AND EXISTS (SELECT 1 FROM s r WHERE r.site = s.site AND r.status = 'ready' AND r.provider = s.satisfied_by) AS stands_in FROM s)
+SELECT site, bool_and(tier <> 'required' OR status = 'ready') AS required_ready, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE tier = 'optional' AND status <> 'ready'), '') AS optional_gaps,
+  coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE status <> 'ready' AND NOT stands_in), '') AS strict_failures, CASE WHEN bool_and(tier <> 'required' OR status = 'ready') THEN 0 ELSE 1 END AS exit_code,
+  CASE WHEN count(*) FILTER (WHERE status <> 'ready' AND NOT stands_in) = 0 THEN 0 ELSE 1 END AS strict_exit_code FROM j GROUP BY site
+""")
+def _(supplier):
+    rows = supplier.selectExpr(
+        "s_nationkey site", "s_name id", "if(s_suppkey % 3 = 0, 'required', 'optional') tier", "case when s_acctbal > 8000 then 'partial' when s_acctbal < 0 then 'unavailable' else 'ready' end status",
+        "'p' || s_suppkey % 4 provider", "case when s_suppkey % 2 = 0 then 'p' || s_suppkey % 3 end satisfied_by",
+    )
+    return corpus.capability_verdict(rows, "site")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import excel, tokens
 from ..functions import text as T
 from ..operators import search
-from ..sources import markdown
+from ..sources import builders, containers, markdown
 from .registry import query
 
 #: A Markdown text for every document: headings, a fence, a list, links and comments, then all of its own lines.
@@ -42,6 +43,27 @@ def _(documents):
     return markdown.blocks(_md(documents))
 
 
+_BLOCKS = """g AS (SELECT *, sum(CASE WHEN p IS NULL OR kind <> p OR kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line) AS p FROM c)),
+k AS (SELECT doc_id, b, first(kind) AS kind, min(line) AS first_line, string_agg(raw, chr(10) ORDER BY line) AS text FROM g WHERE kind <> 'blank' GROUP BY doc_id, b)"""
+
+
+@query("k4_docx_from_markdown", "documents", sql=f"""
+WITH {_DOCS}, {_BLOCKS} SELECT concat(CAST(doc_id AS STRING), '.docx') AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS INT) AS ord, CASE WHEN kind = 'heading' THEN 'Heading' ELSE 'Paragraph' END AS kind,
+  CASE WHEN kind = 'heading' THEN length(regexp_extract(text, '^#+')) ELSE 0 END AS level, CASE WHEN kind = 'heading' THEN regexp_extract(text, '^#+\\s+(.+?)\\s*#*\\s*$', 1) ELSE text END AS text FROM k
+""")
+def _(documents):
+    """Every document's Markdown rendered as a Word file, and the files read again."""
+    rows = markdown.blocks(_md(documents)).withColumn("text", F.when(F.col("kind") == "heading", F.regexp_extract("text", r"^#+\s+(.+?)\s*#*\s*$", 1)).otherwise(F.col("text")))
+
+    def render(k, part):
+        part = part.sort_values("block")
+        nodes = [("Heading", int(level), text) if kind == "heading" else ("Paragraph", 0, text) for kind, level, text in zip(part["kind"], part["level"], part["text"])]
+        return pd.DataFrame({"path": [f"{k[0]}.docx"], "content": [builders.docx(nodes)]})
+
+    files = rows.select("doc_id", "block", "kind", "level", "text").groupBy("doc_id").applyInPandas(render, "path string, content binary")
+    return containers.read_files(files, "docx").where("error is null").drop("error")
+
+
 @query("s11_plain_documents", "documents", sql=r"""
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(raw, '^\s*$')) AS n_blank FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents) GROUP BY doc_id
 """)

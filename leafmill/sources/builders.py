@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
 
@@ -20,8 +21,13 @@ def package(parts: dict[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
+#: Characters that XML can't hold.
+_UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
 def _t(text: str) -> str:
-    return f'<w:t xml:space="preserve">{escape(text)}</w:t>'
+    lines = _UNFIT.sub(" ", text).split("\n")
+    return "<w:br/>".join(f'<w:t xml:space="preserve">{escape(line)}</w:t>' for line in lines)
 
 
 def docx(nodes: list[tuple[str, int, str]]) -> bytes:
