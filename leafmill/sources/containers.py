@@ -15,6 +15,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -235,17 +236,32 @@ def docx_nodes(content: bytes, view: str = "final") -> list[tuple[int, str, int,
 # ------------------------------------------------------------------------- XLSX
 
 
-def _place(ref: str) -> tuple[int, int]:
-    m = re.match(r"([A-Z]+)(\d+)", ref)
+_ROW, _CELL, _VALUE, _FORMULA, _INLINE, _COLUMN, _MERGE, _TEXT, _RUN = (f"{_S}{x}" for x in ("row", "c", "v", "f", "is", "col", "mergeCell", "t", "r"))
+_REF = re.compile(r"([A-Z]+)(\d+)")
+
+
+@lru_cache(20_000)
+def _column(letters: str) -> int:
     n = 0
-    for c in m[1]:
+    for c in letters:
         n = n * 26 + ord(c) - 64
-    return int(m[2]), n
+    return n
+
+
+def _place(ref: str) -> tuple[int, int]:
+    m = _REF.match(ref)
+    return int(m[2]), _column(m[1])
 
 
 def _plain(item: ElementTree.Element) -> str:
     """Text of a string item: its own and that of its runs, without phonetic readings."""
-    return "".join(t.text or "" for t in [*item.findall(f"{_S}t"), *item.findall(f"{_S}r/{_S}t")])
+    out = []
+    for e in item:
+        if e.tag == _TEXT:
+            out.append(e.text or "")
+        elif e.tag == _RUN:
+            out += [t.text or "" for t in e if t.tag == _TEXT]
+    return "".join(out)
 
 
 #: A cell reference outside of quotes, and what is quoted.
@@ -289,36 +305,42 @@ def xlsx_cells(content: bytes) -> list[tuple]:
             continue
         merged, hidden_columns, rows, shared = {}, [], [], {}
         with z.open(part) as f:
-            hidden_row, row, column = False, 0, 0
-            for event, e in ElementTree.iterparse(f, ("start", "end")):
-                if event == "start" and e.tag == f"{_S}row":
-                    hidden_row, row, column = e.get("hidden") in ("1", "true"), int(e.get("r") or row + 1), 0
-                elif event == "end" and e.tag == f"{_S}col" and e.get("hidden") in ("1", "true"):
+            row = 0
+            for _, e in ElementTree.iterparse(f):
+                tag = e.tag
+                if tag == _ROW:
+                    row, column, hidden_row = int(e.get("r") or row + 1), 0, e.get("hidden") in ("1", "true")
+                    for cell in e:
+                        if cell.tag != _CELL:
+                            continue
+                        ref, kind = cell.get("r"), cell.get("t", "n")
+                        at = _place(ref) if ref else (row, column + 1)
+                        column, raw, formula = at[1], None, None
+                        for child in cell:
+                            if child.tag == _VALUE:
+                                raw = child.text or ""
+                            elif child.tag == _INLINE:
+                                raw = _plain(child)
+                            elif child.tag == _FORMULA:
+                                formula, number = child.text or "", child.get("si")
+                                if child.get("t") == "shared":
+                                    if formula:
+                                        shared[number] = (at, formula)
+                                    elif number in shared:
+                                        (r0, c0), first = shared[number]
+                                        formula = shifted(first, at[0] - r0, at[1] - c0)
+                        if kind == "s" and raw is not None:
+                            raw = strings[int(raw)]
+                        elif kind == "b":
+                            raw = "TRUE" if raw == "1" else "FALSE"
+                        if raw is not None or formula is not None:
+                            rows.append((*at, raw, kind, formula, int(cell.get("s", 0)), hidden_row))
+                    e.clear()
+                elif tag == _COLUMN and e.get("hidden") in ("1", "true"):
                     hidden_columns.append((int(e.get("min")), int(e.get("max"))))
-                elif event == "end" and e.tag == f"{_S}mergeCell":
+                elif tag == _MERGE:
                     a, _, b = e.get("ref").partition(":")
                     merged[_place(a)] = _place(b or a)
-                elif event == "end" and e.tag == f"{_S}c":
-                    kind, raw, formula = e.get("t", "n"), e.findtext(f"{_S}v"), e.findtext(f"{_S}f")
-                    at, column = (_place(e.get("r")), _place(e.get("r"))[1]) if e.get("r") else ((row, column + 1), column + 1)
-                    own = e.find(f"{_S}f")
-                    if own is not None and own.get("t") == "shared":
-                        if formula:
-                            shared[own.get("si")] = (at, formula)
-                        elif own.get("si") in shared:
-                            (r0, c0), first = shared[own.get("si")]
-                            formula = shifted(first, at[0] - r0, at[1] - c0)
-                    if kind == "s" and raw is not None:
-                        raw = strings[int(raw)]
-                    elif kind == "inlineStr":
-                        raw = _plain(e.find(f"{_S}is")) if e.find(f"{_S}is") is not None else ""
-                    elif kind == "b":
-                        raw = "TRUE" if raw == "1" else "FALSE"
-                    if raw is not None or formula is not None:
-                        rows.append((*at, raw, kind, formula, int(e.get("s", 0)), hidden_row))
-                    e.clear()
-                elif event == "end" and e.tag == f"{_S}row":
-                    e.clear()
         for r, c, raw, kind, formula, style, hidden in rows:
             end = merged.get((r, c), (None, None))
             out.append((sheet.get("name"), sheet.get("state", "visible"), r, c, raw, kind, formula, style, hidden, any(a <= c <= b for a, b in hidden_columns), *end))
