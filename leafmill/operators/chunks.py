@@ -121,3 +121,19 @@ def numbered(nodes: DataFrame) -> DataFrame:
     parts = nodes.groupBy("doc_id", "partition_order").agg(F.count("*").alias("n_nodes"))
     no = F.row_number().over(W.partitionBy("doc_id").orderBy("partition_order"))
     return parts.select("doc_id", "partition_order", F.concat(F.lit("part-"), F.lpad(no.cast("string"), 4, "0")).alias("part_id"), "n_nodes")
+
+
+def round_trip(nodes: DataFrame) -> DataFrame:
+    """doc_id, markdown (every node behind a control comment that names it) and map: where in it the text of each node is.
+
+    markdown[start : start + length] is the node's text; an edit is told from the baseline by the comments and the map.
+    """
+    head = F.concat(F.lit('<!-- block id="'), F.col("node_id"), F.lit('" kind="'), F.col("kind"), F.lit('" -->\n'))
+    text = F.coalesce("text", F.lit(""))
+    block = F.concat(head, text, F.lit("\n\n"))
+    before = F.coalesce(F.sum(F.length(block)).over(W.partitionBy("doc_id").orderBy("ord", "node_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = nodes.select("doc_id", "ord", "node_id", block.alias("block"), (before + F.length(head)).alias("start"), F.length(text).alias("length"))
+    found = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "node_id", "block", "start", "length"))).alias("x"))
+    return found.select(
+        "doc_id", F.array_join(F.transform("x", lambda i: i["block"]), "").alias("markdown"), F.transform("x", lambda i: F.struct(i["node_id"].alias("node_id"), i["start"].alias("start"), i["length"].alias("length"))).alias("map"),
+    )

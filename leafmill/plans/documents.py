@@ -267,6 +267,19 @@ def _(nodes):
     return chunks.projection(nodes).select("node_id", "start", "length")
 
 
+@query("k5_round_trip_markdown", "nodes", sql="""
+WITH b AS (SELECT doc_id, ord, node_id, text, length(concat('<!-- block id="', node_id, '" kind="', kind, '" -->')) + 1 AS h FROM nodes)
+SELECT node_id, CAST(coalesce(sum(h + length(text) + 2) OVER (PARTITION BY doc_id ORDER BY ord, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + h AS BIGINT) AS start, text AS slice, true AS marked FROM b
+""")
+def _(nodes):
+    """The map read back: the stretch of the Markdown that it gives, and whether the comment before it names the node."""
+    held = chunks.round_trip(nodes).select("doc_id", "markdown", F.inline("map"))
+    slice_ = F.substr("markdown", (F.col("start") + 1).cast("int"), F.col("length"))
+    mark = F.concat(F.lit('<!-- block id="'), F.col("node_id"), F.lit('"'))
+    marked = F.contains(F.substring_index(F.substr("markdown", F.lit(1), (F.col("start") - 1).cast("int")), "\n", -1), mark)
+    return held.select("node_id", F.col("start").cast("long").alias("start"), slice_.alias("slice"), marked.alias("marked"))
+
+
 @query("k1_readable_markdown", "nodes", sql=f"""
 SELECT doc_id, string_agg(CASE kind WHEN 'Heading' THEN repeat('#', heading_level) || ' ' || text WHEN 'ListItem' THEN '- ' || text ELSE text END, chr(10) || chr(10) ORDER BY ord, node_id) AS markdown
 FROM nodes WHERE {_VISIBLE} AND text <> '' GROUP BY doc_id
