@@ -44,7 +44,7 @@ DEPTH = 5
 #: Grams of the tree that one task builds, and bytes of text handled at a time.
 PART, BLOCK = 400_000, 1_000_000
 #: Bytes of text that share a scoring table.
-BLOCK_TEXT = 64_000_000
+BLOCK_TEXT = 32_000_000
 #: The tree is dealt by this many bytes of context, by one more where a context has over a HOT-th of all grams.
 DEALT, HOT = 2, 1000
 
@@ -290,18 +290,18 @@ def model(counted: DataFrame, depth: int, n_grams: int) -> DataFrame:
             p, sums = subtree(keys, all_n[use], depth, dealt)
             for k in range(0, len(keys), 50_000):
                 part = p[k : k + 50_000]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, 8, dtype=np.int32)), pa.array(part.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, 8, dtype=np.int32)), pa.array(part.ravel().astype(np.float32)))
                 none = pa.nulls(len(part), pa.int32())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(keys[k : k + 50_000].view(np.int64)), pa.nulls(len(part), pa.float64()), lists], names=names)
             for k, (u, v) in enumerate(sums):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(u), k, np.int32)), pa.array(np.full(len(u), dealt - 1, np.int32)), pa.array(u.view(np.int64)), pa.array(v, pa.float64()), pa.nulls(len(u), pa.list_(pa.float64()))],
+                    [pa.array(np.full(len(u), k, np.int32)), pa.array(np.full(len(u), dealt - 1, np.int32)), pa.array(u.view(np.int64)), pa.array(v, pa.float64()), pa.nulls(len(u), pa.list_(pa.float32()))],
                     names=names,
                 )
 
     parts = max(1, -(-n_grams // PART))
     third = F.when(context(DEALT).isin(hot), context(DEALT + 1)).otherwise(F.lit(-1)) if hot else F.lit(-1)
-    built = materialize(grams_.repartition(parts, context(DEALT), third).mapInArrow(build, "bit int, depth int, key long, value double, p array<double>"), "tree")
+    built = materialize(grams_.repartition(parts, context(DEALT), third).mapInArrow(build, "bit int, depth int, key long, value double, p array<float>"), "tree")
     # bounded: at most 256 contexts, and HOT more of two bytes, with 255 nodes each; and 65,536 grams of two bytes, and HOT x 256 of three
     sums = built.where("bit is not null").groupBy("bit", "depth", "key").agg(F.sum("value").alias("value")).toPandas()
     top = grams_.groupBy(F.col("key").bitwiseAND((1 << (8 * DEALT)) - 1).alias("key")).agg(F.sum("n").alias("n")).where("n > 0").toPandas()
@@ -333,7 +333,7 @@ def model(counted: DataFrame, depth: int, n_grams: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy().view(np.uint64)
-            p = batch.column(1).flatten().to_numpy().reshape(-1, 8)
+            p = batch.column(1).flatten().to_numpy().reshape(-1, 8).astype(np.float64)
             total, apart = np.zeros(len(keys)), is_hot(keys)
             for k in range(8):
                 x = p[:, k].copy()
@@ -351,32 +351,39 @@ def model(counted: DataFrame, depth: int, n_grams: int) -> DataFrame:
 
 
 class Table:
-    """Read-only hash table from 64-bit keys to numbers: open addressing, laid out in one go."""
+    """Read-only hash table from 64-bit keys to numbers (32-bit floats): open addressing, laid out in one go."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.4))))
+        self.slots = max(16, int(1.4 * len(keys)))
         home = self.home(keys)
         order = np.argsort(home, kind="stable")
         at = np.arange(len(keys))
         at = np.maximum.accumulate(home[order] - at) + at if len(keys) else at
-        size = max(1 << self.bits, int(at[-1]) + 1 if len(at) else 0) + 1
-        self.keys, self.values = np.full(size, _EMPTY), np.zeros(size, np.float64)
+        size = max(self.slots, int(at[-1]) + 1 if len(at) else 0) + 1
+        size += size % 2
+        self.keys, self.values = np.full(size, _EMPTY), np.zeros(size, np.float32)
         self.keys[at], self.values[at] = keys[order], values[order]
 
     def write(self, out) -> None:
-        out.write(np.array([self.bits, len(self.keys)], "<u8").tobytes())
+        out.write(np.array([self.slots, len(self.keys)], "<u8").tobytes())
         out.write(self.keys.astype("<u8").data)
-        out.write(self.values.astype("<f8").data)
+        out.write(self.values.astype("<f4").data)
+
+    @staticmethod
+    def words(size: int) -> int:
+        """64-bit words that a table of this size takes."""
+        return 2 + size + size // 2
 
     @classmethod
     def read(cls, words: np.ndarray) -> tuple["Table", np.ndarray]:
         """The table at the front of an array of 64-bit words, and the words after it; nothing is copied."""
         t, size = cls.__new__(cls), int(words[1])
-        t.bits, t.keys, t.values = int(words[0]), words[2 : 2 + size], words[2 + size : 2 + 2 * size].view("<f8")
-        return t, words[2 + 2 * size :]
+        t.slots, t.keys, t.values = int(words[0]), words[2 : 2 + size], words[2 + size : cls.words(size)].view("<f4")
+        return t, words[cls.words(size) :]
 
     def home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        mixed = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        return ((mixed * np.uint64(self.slots)) >> np.uint64(32)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, zero for absent keys."""
@@ -437,7 +444,7 @@ def read_tables(at: str, block: int) -> tuple[Table, Table]:
                 words = np.frombuffer(f.read(), "<u8")
         if len(words) > 5 and words[-1] == 1:
             first, rest = Table.read(words)
-            if 2 + 2 * int(rest[1]) + 1 == len(rest):
+            if Table.words(int(rest[1])) + 1 == len(rest):
                 return first, Table.read(rest)[0]
     # a block without grams has no file: it can't have texts either, but for those that held no gram when it was counted
     none = Table(np.zeros(0, np.uint64), np.zeros(0))
@@ -458,8 +465,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block_text: int = BLOCK_TEXT) ->
     denominator = float(tokens + distinct + 1)
     end_base = float(np.log10((n_train + 1) / denominator))
     probabilities = model(counted, depth, n_grams)
-    values = counted.where("kind = 0").select("kind", "key", "blocks").join(probabilities.select("key", F.col("logp").alias("value")), "key")
-    values = values.select("kind", "key", "blocks", "value").unionByName(counted.where("kind = 1 and n > 0").select("kind", "key", "blocks", F.col("n").cast("double").alias("value")))
+    values = counted.where("kind = 0").select("kind", "key", "blocks").join(probabilities.select("key", F.col("logp").cast("float").alias("value")), "key")
+    values = values.select("kind", "key", "blocks", "value").unionByName(counted.where("kind = 1 and n > 0").select("kind", "key", "blocks", F.col("n").cast("float").alias("value")))
     at = f"{shared_dir(spark)}/ctw-{uuid.uuid4().hex}"
     write_tables(values.select(F.explode("blocks").alias("block"), "kind", "key", "value"), at)
 
@@ -476,8 +483,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block_text: int = BLOCK_TEXT) ->
                     m = len(w)
                     n = np.fromiter(map(len, w), np.int64, m)
                     sizes = np.fromiter((sum(map(len, x)) + max(0, len(x) - 1) + 1 for x in w), np.int64, m)
-                    total = np.add.reduceat(table.get(grams(w, depth)[0]), np.cumsum(sizes) - sizes)
-                    c = known.get(word_hashes(w))
+                    total = np.add.reduceat(table.get(grams(w, depth)[0]), np.cumsum(sizes) - sizes, dtype=np.float64)
+                    c = known.get(word_hashes(w)).astype(np.float64)
                     who = np.repeat(np.arange(m), n)
                     base = np.bincount(who, weights=np.log10((c + 1.0) / denominator), minlength=m) + end_base
                     seen = np.bincount(who, weights=c > 0, minlength=m).astype(np.int64) + int(n_train > 0)
