@@ -145,3 +145,35 @@ def _(parts):
     files = parts.select("package_id", "ord", "markdown").mapInPandas(lambda it: (build(p) for p in it), "path string, content binary")
     found = containers.failures(containers.read_files(files, "entries"))
     return found.select("path", F.regexp_extract("error", r"(path_traversal|compression_ratio|BadZipFile)", 1).alias("error"))
+
+
+@query("x1_format_source", "cells", sql="""
+SELECT concat(CAST(sheet_id AS STRING), '.xlsx') AS path, sheet_state AS state, row_no, col_no, value FROM cells WHERE value IS NOT NULL
+""")
+def _(cells):
+    """The files in the shared folder, read through the Python data source."""
+    import uuid
+
+    from ..sources import adapter
+    from ..storage import shared_dir
+
+    spark = cells.sparkSession
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    uri = root if ":/" in root else f"file://{root}"
+
+    def put(parts):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                # a repeated task writes the same bytes again
+                with fs.open_output_stream(f"{base}/{path}") as f:
+                    f.write(bytes(content))
+            yield part[["path"]]
+
+    _xlsx(cells).mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+    adapter.register(spark)
+    found = spark.read.format("leafmill_files").option("kind", "xlsx").load(uri)
+    return found.where("value is not null").select("path", "state", "row_no", "col_no", "value")

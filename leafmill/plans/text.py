@@ -278,3 +278,16 @@ def _(orders):
     undecided = F.when(F.col("o_custkey") % 11 == 0, excel.value("unknown")).otherwise(excel.value("boolean", F.lit(0)))
     rules = [(3, excel.compile_expression('S="F"', names), F.lit("none"), True), (1, undecided, F.lit("x"), True), (2, excel.compile_expression("A>800", names), F.lit("strike"), True), (9, excel.compile_expression("TRUE", names), F.lit("default"), True)]
     return orders.select("o_orderkey", excel.first_match(rules).alias("format"))
+
+
+@query("x5_name_resolver", "orders", sql="""
+SELECT o_orderkey, round(floor(o_totalprice) * 2 + o_custkey, 6) AS total, 'unknown' AS missing, CASE WHEN o_custkey % 5 = 0 THEN 'low' ELSE upper(o_orderstatus) END AS label FROM orders
+""")
+def _(orders):
+    """Names come from a table of columns that the caller gives; one that isn't there leaves the result unknown."""
+    names = {
+        "Price": excel.value("number", F.floor("o_totalprice")), "Customer": excel.value("number", F.col("o_custkey")), "Status": excel.value("text", text=F.col("o_orderstatus")),
+    }
+    total, missing = excel.compile_expression("=Price*2+customer", {k.lower(): v for k, v in names.items()} | names), excel.compile_expression("=Price+Nowhere", names)
+    label = excel.compile_expression('=IF(MOD(Customer,5)=0,"low",UPPER(Status))', names)
+    return orders.select("o_orderkey", _number(total).alias("total"), missing["kind"].alias("missing"), label["text"].alias("label"))
