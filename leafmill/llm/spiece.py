@@ -24,7 +24,8 @@ the rest of a unit alone, so lattices are remembered by unit suffix (by its
 Random numbers are a counter-based hash of (seed, row key, sample, position):
 a row's samples don't depend on partitions, batches or retries.  Null texts
 are empty and have one segmentation, without pieces; texts with fewer than k
-segmentations emit all they have.  Repeated row keys draw the same numbers.
+segmentations emit all they have.  doc_id must be a number; other columns are
+ignored.  Repeated row keys draw the same numbers.
 """
 
 from __future__ import annotations
