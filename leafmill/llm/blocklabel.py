@@ -78,7 +78,7 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
 def cut(page: str) -> list[Block]:
     """The leaf blocks of a page, white space collapsed, character references decoded."""
     out: list[Block] = []
-    # open elements: tag, own vector, and the sum of those from the root on
+    # open elements: tag, sum of the vectors from the root on, and the path vector of blocks right below
     stack: list[tuple[str, np.ndarray, np.ndarray]] = []
     nothing = np.zeros(PATH_DIM, np.float32)
     text: list[str] = []
@@ -90,9 +90,7 @@ def cut(page: str) -> list[Block]:
         if text:
             plain = " ".join("".join(text).split())
             if plain:
-                # the three innermost count in full
-                path = 0.7 * stack[-1][2] + 0.3 * sum((e[1] for e in stack[-3:]), nothing) if stack else nothing
-                out.append(Block(plain, path, linked))
+                out.append(Block(plain, stack[-1][2] if stack else nothing, linked))
             text.clear()
         linked = 0
 
@@ -138,7 +136,9 @@ def cut(page: str) -> list[Block]:
                         break
             if tag != "hr" and not m[3].endswith("/"):
                 own = element(tag, m[3])
-                stack.append((tag, own, own + stack[-1][2] if stack else own))
+                total = own + stack[-1][1] if stack else own
+                # the three innermost count in full, those above by 0.7
+                stack.append((tag, total, total - np.float32(0.3) * stack[-3][1] if len(stack) > 2 else total))
     flush()
     return out
 
