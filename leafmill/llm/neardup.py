@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import few, materialize, texts
+from .common import few, materialize, release, texts
 from .simhash import row_hash, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of a fingerprint, bits that may differ in all (three standard deviations more than expected), and probability that a pair shares a table.
 WORDS, RADIUS, MEETS = 3, 44, 0.98
 CODE = [f"c{w}" for w in range(WORDS)]
+#: Rows of a batch that a worker unpacks at a time; of their words it holds one text's.
+ROWS = 500
 #: Shingles of a candidate group that one task holds, and of the texts that one round sends to all executors; groups in a round.
 HOT, BLOCK, ROOTS = 2_000_000, 1_000_000, 100
 
@@ -64,15 +66,16 @@ def key_of(words: list[bytes]) -> int:
 
 def fingerprint(hashes: np.ndarray) -> np.ndarray:
     """WORDS words: the bits set in over half of the hashes, and of the hashes mixed again."""
-    out = np.zeros(WORDS, np.uint64)
-    for w in range(WORDS):
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(hashes), 8192):
-            ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[w] = np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+    out = []
+    for _ in range(WORDS):
+        out.append(hashes)
         hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         hashes = hashes ^ (hashes >> np.uint64(29))
-    return out
+    raw, ones = np.stack(out, 1).view(np.uint8).reshape(-1, 8 * WORDS), np.zeros(64 * WORDS, np.int64)
+    # a byte counts up to 255
+    for k in range(0, len(raw), 255):
+        ones += np.unpackbits(raw[k : k + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(raw), bitorder="little").view(np.uint64)
 
 
 def tables(n: int, least: float = SIMILARITY, meets: float = MEETS) -> list[list[int]]:
@@ -123,21 +126,32 @@ def near(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared >= least * (len(a) + len(b) - shared) - 1e-9
 
 
-def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, key, size (distinct shingles) and the words of the fingerprint of each row; rows without words have no shingles."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of up to ROWS rows."""
+    return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [t.lower().split() for t in texts(batch.column(2))]
-            sets = [shingles(w) for w in words]
-            codes = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([key_of(w) for w in words], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(c) for c in codes.T]],
-                names=["doc_id", "hash", "key", "size", *CODE],
-            )
 
+def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``prints`` gives of batches (doc_id, hash, text)."""
+
+    def one(text: bytes) -> tuple[int, int, np.ndarray]:
+        words = text.lower().split()
+        own = shingles(words)
+        return key_of(words), len(own), fingerprint(own)
+
+    for batch in pieces(batches):
+        keys, sizes, codes = zip(*map(one, texts(batch.column(2))))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(c) for c in np.array(codes).view(np.int64).T]],
+            names=["doc_id", "hash", "key", "size", *CODE],
+        )
+    release()
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, key, size (distinct shingles) and the words of the fingerprint of each row; rows without words have no shingles."""
     own = docs.select(docs["doc_id"].cast("long"), row_hash(docs).alias("hash"), docs["text"].cast("string"))
-    return own.mapInArrow(run, "doc_id long, hash long, key long, size long, " + ", ".join(f"{c} long" for c in CODE))
+    return own.mapInArrow(printed, "doc_id long, hash long, key long, size long, " + ", ".join(f"{c} long" for c in CODE))
 
 
 def candidates(reps: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, crowded: int = simhash.CROWDED) -> DataFrame:
@@ -286,9 +300,10 @@ def groups(docs: DataFrame, own: DataFrame, least: float = SIMILARITY, hot: int
     text = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), row_hash(docs).alias("hash"), docs["text"].cast("string").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(t.lower().split()).tobytes() for t in texts(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["root", "key", "size", "set"])
+        release()
 
     # equal rows have the same key: one of them is enough
     texts_of = text.join(few(named), ["doc", "hash"]).select("root", "key", "size", "text")

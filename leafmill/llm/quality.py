@@ -100,8 +100,16 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
             let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), cover)
         )
 
+    def joined(h: Column, size: int) -> Column:
+        """Hashes of the runs of `size` elements from each place on, by halves; the last size - 1 are cut short."""
+        if size == 1:
+            return h
+        half = size // 2
+        runs = let(joined(h, half), lambda r: F.transform(r, lambda x, i: F.xxhash64(x, F.get(r, i + half))))
+        return runs if size % 2 == 0 else let(runs, lambda r: F.transform(r, lambda x, i: F.xxhash64(x, F.get(h, i + (size - 1)))))
+
     def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window)))
+        return F.slice(joined(h, window), 1, F.size(h) - (window - 1))
 
     return F.when(F.size(words) < window + 1, F.lit(0).cast("long")).otherwise(
         let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), some))
@@ -139,12 +147,10 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, their failing lines removed; same columns as the input."""
     text = text_of(docs)
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    new, own = fresh(docs.columns, "_clean", "_words")
-    step = docs.select("*", cleaned(text).alias(new), words.alias(own))
-    step = step.where(
-        (F.size(own) >= MIN_WORDS)
-        & (squeezed(F.col(new)) * 100 >= squeezed(F.col("text")) * MIN_KEPT_PERCENT)
-        & (repeat_words(F.col(own)) * 100 <= F.size(own) * MAX_REPEAT_PERCENT)
-    )
+    (new,) = fresh(docs.columns, "_clean")
+    # an array of the cleaned text, or of nothing: a filter above a column would be pushed below it, and clean every text twice
+    fit = F.filter(F.array(words), lambda w: (F.size(w) >= MIN_WORDS) & (repeat_words(w) * 100 <= F.size(w) * MAX_REPEAT_PERCENT))
+    left = F.filter(F.transform(fit, lambda w: cleaned(text)), lambda x: squeezed(x) * 100 >= squeezed(text) * MIN_KEPT_PERCENT)
+    step = docs.select("*", F.explode(left).alias(new))
     rewritten = {"text": F.col(new)} | ({"n_chars": F.length(new).cast("long")} if "n_chars" in docs.columns else {})
     return step.select(*[rewritten.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

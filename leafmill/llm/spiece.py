@@ -81,6 +81,7 @@ class Vocabulary:
                 rank = min(-model.get_score(i), float(n))
                 own[piece] = (i, -alpha * float(np.log(rank + RANK_SHIFT)))
                 self.surface[i] = piece.replace(_SPACE, " ").encode()
+        self.spelled = np.array(self.surface, object)
         self.unit = units({a for x in own for a, b in zip(x, x[1:]) if a.isalnum() and b.isascii() and not b.isalnum()})
         if any(a != _SPACE and b == _SPACE or "\n" in (a, b) for x in own for a, b in zip(x, x[1:])):
             raise ValueError("a piece of this vocabulary crosses a space or a line break")
@@ -117,6 +118,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
+        self.room: dict[str, np.ndarray] = {}
         self.start: dict[str, int] = {"": 0}
         # edges of state s: [edge[s], edge[s + 1]); state 0 is the end of a unit
         self.edge = np.zeros(2, np.int32)
@@ -133,6 +135,17 @@ class Lattices:
         arrays = (self.edge, self.cum, self.logp, self.next, self.id, self.beta, self.hashes, self.state)
         return sum(a.nbytes for a in arrays) + 130 * len(self.start)
 
+    def extend(self, name: str, more: np.ndarray) -> None:
+        """Append to a table, in place while there is room: a whole copy for each block would take more time the more is remembered."""
+        old = getattr(self, name)
+        room, n = self.room.get(name, old), len(old) + len(more)
+        if n > len(room):
+            room = np.empty(n + n // 4, old.dtype)
+            room[: len(old)] = old
+            self.room[name] = room
+        room[len(old) : n] = more
+        setattr(self, name, room[:n])
+
     def learn(self, units: list[str]) -> None:
         """Add the suffixes of new units that no state stands for yet, all at once."""
         text = "".join(units)
@@ -150,7 +163,8 @@ class Lattices:
             h = suffix[at + 1] if lo else np.uint64(0)
             suffix[at] = mix(chars[at].astype(np.uint64) ^ (h * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(1))
         values, first, inverse = np.unique(suffix[:-1], return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
+        before = np.searchsorted(self.hashes, values)
+        place = np.minimum(before, max(0, len(self.hashes) - 1))
         old = self.hashes[place] == values if len(self.hashes) else np.zeros(len(values), bool)
         known = np.where(old, self.state[place], -1) if len(self.hashes) else np.full(len(values), -1)
         states = len(self.edge) - 1
@@ -178,7 +192,8 @@ class Lattices:
         a, b, i, w = (np.concatenate(x) for x in (froms, tos, ids, weights))
         s, goes = sid[a], np.where(b == ends[a], 0, sid[b])
         # backward sums, by distance from the end of the unit
-        beta = np.concatenate((self.beta, np.zeros(len(fresh))))
+        self.extend("beta", np.zeros(len(fresh)))
+        beta = self.beta
         order = np.lexsort((s, left[a]))
         s, goes, i, w, dist = s[order], goes[order], i[order], w[order], left[a][order]
         total = np.zeros(len(s))
@@ -204,15 +219,13 @@ class Lattices:
             cum = np.cumsum(np.exp(logp))
             cum -= np.repeat(cum[firsts] - np.exp(logp[firsts]), n)
             cum[firsts + n - 1] = 1.0
-            self.edge = np.concatenate((self.edge, (offset + np.cumsum(n)).astype(np.int32)))
-            self.cum = np.concatenate((self.cum, cum.astype(np.float32)))
-            self.logp = np.concatenate((self.logp, np.minimum(logp, 0.0)))
-            self.next = np.concatenate((self.next, goes.astype(np.int32)))
-            self.id = np.concatenate((self.id, i.astype(np.int32)))
-            self.beta = beta
-            hashes, state = np.concatenate((self.hashes, values[fresh])), np.concatenate((self.state, known[fresh].astype(np.int32)))
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.state = hashes[order], state[order]
+            self.extend("edge", offset + np.cumsum(n))
+            self.extend("cum", cum)
+            self.extend("logp", np.minimum(logp, 0.0))
+            self.extend("next", goes)
+            self.extend("id", i)
+            # both are in ascending order
+            self.hashes, self.state = np.insert(self.hashes, before[fresh], values[fresh]), np.insert(self.state, before[fresh], known[fresh])
         self.start.update(zip(units, sid[np.cumsum(sizes) - sizes].tolist()))
 
     def states(self, units: list[str]) -> np.ndarray:
@@ -403,7 +416,7 @@ def piece_ids(t: Lattices, edges: np.ndarray) -> np.ndarray:
 
 def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
     """The text of a sequence of ids: pieces joined, without the space that encoding puts first."""
-    return b"".join(map(v.surface.__getitem__, ids.tolist()))[1:]
+    return b"".join(v.spelled[ids].tolist())[1:]
 
 
 def encode(path: str, lines: list[str]) -> list[list[int]]:

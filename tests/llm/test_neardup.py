@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from leafmill.llm import neardup
@@ -82,3 +84,14 @@ def test_rows_of_one_id(docs, untouched):
     kept = neardup.dedup(docs([(3, a), (5, a), (5, b), (5, b)]))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (5, b)]
     untouched(kept)
+
+
+def test_a_worker_holds_the_words_of_one_text():
+    text = " ".join(f"word{i}" for i in range(500))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array([text] * 4000)], names=["doc_id", "hash", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in neardup.printed(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the batch has 15 MB of text, and its words would take 100
+    assert n == 4000 and peak < 20e6

@@ -52,3 +52,9 @@ def test_phrases_of_four_languages(docs):
     own = docs([(i, f"{CLEAN}\n{x}") for i, x in enumerate(lines)] + [(50, f"{CLEAN}\nDas Impressum der Zeitung fehlt."), (51, f"{CLEAN}\nShe will share this on Monday.")])
     got = {r["doc_id"]: r["text"] for r in quality.clean(own).collect()}
     assert all(got[i] == CLEAN for i in range(len(lines))) and got[50] != CLEAN and got[51] != CLEAN
+
+
+def test_each_text_is_cleaned_once(docs):
+    """A filter pushed below the cleaned text would clean it twice."""
+    plan = quality.clean(docs([(1, "a")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(quality.SENTENCE) == 1
