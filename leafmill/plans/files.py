@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def _files(df, key: str, build, suffix: str):
     return df.groupBy(key).applyInPandas(run, "path string, content binary")
 
 
+@lru_cache(1)
+def _bomb() -> bytes:
+    """A package that the gate stops, built once in a worker: deflating it takes far longer than all else about a file."""
+    return builders.package({"bomb.txt": "0" * 3_000_000})
+
+
 def _docx(nodes):
     def build(part):
         rows = part.sort_values(["ord", "node_id"])
@@ -138,11 +146,13 @@ def _(parts):
         return pd.DataFrame({
             "path": [f"{k}-{o}.bin" for k, o in zip(part["package_id"], part["ord"])],
             "content": [
-                builders.package({"../x.md": m} if o % 4 == 0 else {"bomb.txt": "0" * 3_000_000} if o % 4 == 1 else {"a.md": m}) if o % 4 != 2 else m.encode() for o, m in zip(part["ord"], part["markdown"])
+                _bomb() if o % 4 == 1 else m.encode() if o % 4 == 2 else builders.package({"../x.md" if o % 4 == 0 else "a.md": m}) for o, m in zip(part["ord"], part["markdown"])
             ],
         })
 
-    files = parts.select("package_id", "ord", "markdown").mapInPandas(lambda it: (build(p) for p in it), "path string, content binary")
+    # a small table comes as one partition
+    spread = parts.select("package_id", "ord", "markdown").repartition("package_id", "ord")
+    files = spread.mapInPandas(lambda it: (build(p) for p in it), "path string, content binary")
     found = containers.failures(containers.read_files(files, "entries"))
     return found.select("path", F.regexp_extract("error", r"(path_traversal|compression_ratio|BadZipFile)", 1).alias("error"))
 

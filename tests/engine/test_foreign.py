@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from leafmill.plans import files
 from leafmill.sources import containers as c
 
 S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -101,3 +102,7 @@ def test_bombs_and_broken_files_are_rows(spark):
     sheets = [("bad.xlsx", b"no zip"), ("bomb.xlsx", package({"xl/workbook.xml": "0" * 5_000_000}))]
     rows = {r["path"]: r["error"] for r in c.read_files(spark.createDataFrame(sheets, "path string, content binary"), "xlsx").collect()}
     assert "BadZipFile" in rows["bad.xlsx"] and "compression_ratio" in rows["bomb.xlsx"]
+
+
+def test_the_bomb_is_built_once():
+    assert files._bomb() is files._bomb() and c.problems(files._bomb()) == [("compression_ratio", "bomb.txt")]
