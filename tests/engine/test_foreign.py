@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 from leafmill.plans import files
+from leafmill.sources import adapter
 from leafmill.sources import containers as c
 
 S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -106,3 +107,15 @@ def test_bombs_and_broken_files_are_rows(spark):
 
 def test_the_bomb_is_built_once():
     assert files._bomb() is files._bomb() and c.problems(files._bomb()) == [("compression_ratio", "bomb.txt")]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    small = [(f"f{i}", 1000) for i in range(adapter.FILES + 20)]
+    assert [len(x) for x in adapter.packed(small)] == [adapter.FILES, 20] and adapter.packed([]) == []
+    assert adapter.packed([("a", 1), ("b", adapter.BYTES + 1), ("c", adapter.BYTES), ("d", 0)]) == [["a"], ["b"], ["c", "d"]]
+    for i in range(30):
+        (tmp_path / f"{i}.xlsx").write_bytes(workbook(f"<row r='1'><c r='A1'><v>{i}</v></c></row>"))
+    adapter.register(spark)
+    found = spark.read.format("leafmill_files").option("kind", "xlsx").load(str(tmp_path))
+    assert sorted((r["path"], r["value"]) for r in found.collect()) == sorted((f"{i}.xlsx", str(i)) for i in range(30))
+    assert found.rdd.getNumPartitions() == 1
