@@ -95,3 +95,50 @@ def test_rows_and_seeds(docs):
 def test_library_encoding_decodes(tables):
     for text in ("Hello wörld", "a  b\n\tc 中文 🙂"):
         assert spiece.decode(tables.v, np.array(spiece.encode(MODEL, [text])[0])) == text.encode()
+
+
+def test_suffixes_of_known_units_are_not_learned_again(monkeypatch):
+    t, learned, learn = spiece.Lattices(spiece.Vocabulary(MODEL)), [], spiece.Lattices.learn
+    monkeypatch.setattr(spiece.Lattices, "learn", lambda self, *units: (learned.append(units), learn(self, *units)))
+    key = np.array([7], np.uint64)
+    spiece.sample(t, ["donation\n"], key, 2)
+    assert len(learned) == 1
+    spiece.sample(t, [" "], key, 2)
+    learned.clear()
+    (paths,) = spiece.sample(t, ["\nnation"], key, 2)
+    assert not learned
+    assert {spiece.decode(t.v, spiece.piece_ids(t, p.edges)) for p in paths} == {b"\nnation"}
+
+
+def test_numbers_of_keys():
+    rng, numbers, known = np.random.default_rng(1), spiece.Numbers(), {}
+    for _ in range(40):
+        keys = rng.integers(1, 2**63, 500, dtype=np.uint64) >> np.uint64(rng.integers(0, 60))
+        assert numbers.find(keys).tolist() == [known.get(k, 0) for k in keys.tolist()]
+        new = keys[numbers.find(keys) == 0]
+        got, fresh = numbers.add(new)
+        assert got[fresh].tolist() == list(range(len(known) + 1, len(known) + 1 + len(set(new.tolist()))))
+        known |= dict(zip(new.tolist(), got.tolist()))
+        assert numbers.find(keys).tolist() == [known[k] for k in keys.tolist()]
+
+
+def test_units_cut_no_piece_and_go_in_parts(tables, monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    m = SentencePieceProcessor(model_file=MODEL)
+    own = {m.id_to_piece(i).replace("▁", " ") for i in range(3, m.get_piece_size()) if not m.is_byte(i)}
+    rng = np.random.default_rng(2)
+    docs = ["", *("".join(rng.choice(list("aabbN  \n\t_.,'-€™—²é中🙂▁½"), n)) for n in (1, 2, 30, 200, 2000)), "", "x" * 300 + " the cat, sat."]
+    chars, starts, n = tables.v.split(docs)
+    text = "".join(map(chr, chars.tolist()))
+    assert text == "".join(" " + d for d in docs if d)
+    firsts = set(np.cumsum([0, *(len(d) + 1 for d in docs if d)]).tolist())
+    for at in set(starts.tolist()) - firsts:
+        assert not any(text[at - a : at + b] in own for a in range(1, min(at, 12) + 1) for b in range(1, 13))
+    assert n.tolist() == [sum(a <= x < a + len(d) + 1 for x in starts.tolist()) if d else 0 for d, a in zip(docs, np.cumsum([0, *(len(d) + 1 if d else 0 for d in docs)]).tolist())]
+    keys = spiece.mix(np.arange(len(docs), dtype=np.uint64))
+    want = [[(spiece.piece_ids(tables, p.edges).tolist(), p.logp, p.gumbel) for p in x] for x in spiece.sample(tables, docs, keys, 3)]
+    monkeypatch.setattr(spiece, "PART", 40)
+    monkeypatch.setattr(spiece, "LEARN", 3)
+    t = spiece.Lattices(tables.v)
+    assert [[(spiece.piece_ids(t, p.edges).tolist(), p.logp, p.gumbel) for p in x] for x in spiece.sample(t, docs, keys, 3)] == want
