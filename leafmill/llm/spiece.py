@@ -45,8 +45,8 @@ from .common import release, texts
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 42
 RANK_SHIFT = 10.0
-#: Bytes of lattices that a worker remembers, from task to task, before it forgets them all; new units learned at a time.
-MEMORY, LEARN = 80_000_000, 20_000
+#: Bytes of lattices that a worker remembers before it forgets them all, and at most from task to task; new units learned at a time.
+MEMORY, KEEP, LEARN = 40_000_000, 15_000_000, 20_000
 #: Rows of a batch unpacked, characters sampled, and characters of a long text looked up at a time.
 ROWS, BLOCK, PART = 1000, 250_000, 1_000_000
 
@@ -58,7 +58,7 @@ ENDS = np.array([b == BREAK or a == BREAK or (b == BLANK and a != BLANK) or (a =
 def kinds(crossed: set[str]) -> np.ndarray:
     """The kind of each code point: letters and digits, ASCII punctuation, spaces, line breaks; others (and the letters crossed) may go on with anything."""
     out = np.full(0x110000, OTHER, np.uint8)
-    for m in re.finditer(r"[^\W_]+", "".join(map(chr, range(len(out))))):
+    for m in re.finditer(r"[^\W_]+", np.arange(len(out), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
         out[m.start() : m.end()] = LETTER
     out[[ord(x) for x in string.punctuation]] = SIGN
     out[[ord(x) for x in sorted(crossed)]] = OTHER
@@ -557,6 +557,10 @@ def segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float =
                     end += 1
                 yield block(tables, ids[at:end], raw[at:end])
                 at = end
+            release()
+        # what an idle worker holds is missing elsewhere
+        if tables_of(model, alpha).nbytes() > KEEP:
+            tables_of(model, alpha).clear()
         release()
 
     def block(t: Lattices, ids: list, raw: list[bytes]) -> pa.RecordBatch:
